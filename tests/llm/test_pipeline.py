@@ -1,0 +1,39 @@
+"""The pipeline's stages on a small table, each held against what its operator decides."""
+
+import corpus_pipeline
+import pytest
+
+from tokenloom.llm import line_dedup, ngram_join, quality
+from tokenloom.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs, out = table(spark, SF, "documents"), []
+    for _, stage in corpus_pipeline.STAGES:
+        out.append((docs, stage(spark, docs, SF)))
+        docs = out[-1][1]
+    return [(a.collect(), b.collect(), a, b) for a, b in out]
+
+
+def test_columns_and_decisions(stages):
+    columns = stages[0][2].columns
+    assert all(b.columns == columns for *_, b in stages[:-1])
+    rules, lines, join, leaks, packed = stages
+    kept = {x["doc_id"] for x in quality.judged(rules[2]).where("kept").collect()}
+    assert {x["doc_id"] for x in rules[1]} == kept and 0 < len(kept) < len(rules[0])
+    cut = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(lines[2]).collect()}
+    assert {x["doc_id"]: x["text"] for x in lines[1]} == cut
+    assert all(x["n_chars"] == len(x["text"]) for x in lines[1])
+    heads = {x["component_id"] for x in ngram_join.jaccard_classes(join[2]).collect()}
+    assert {x["doc_id"] for x in join[1]} == heads
+    items = [x["text"] for x in table(stages[0][2].sparkSession, SF, "benchmark").collect()]
+    gone = {x["doc_id"] for x in leaks[0] if any(i in x["text"] for i in items)}
+    assert {x["doc_id"] for x in leaks[1]} == {x["doc_id"] for x in leaks[0]} - gone
+    assert {x["doc_id"] for x in packed[1]} == {x["doc_id"] for x in leaks[1]}
+
+
+def test_run(spark, stages):
+    assert corpus_pipeline.run(spark, SF).count() == len(stages[-1][1])
