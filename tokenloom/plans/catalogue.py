@@ -1,0 +1,11 @@
+"""The registered queries over the driver's tables."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
