@@ -139,7 +139,7 @@ class ChunkEncoder:
     Other vocabularies, and texts with the control characters that count as space in Python only, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -160,6 +160,17 @@ class ChunkEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)] if texts else []
 
+    def stretches(self, parts: list[str]) -> list[bytes]:
+        """Ids of stretches, many in one call: the library takes them as words and says which word each id is of."""
+        out: list[bytes] = []
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
+            e = self.lib.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
+            ends = (np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(some) + 1)) * self.width).tolist()
+            out += [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_stretch:
             return self.whole(texts)
@@ -173,7 +184,7 @@ class ChunkEncoder:
                     if b is None and c not in new:
                         new[c] = old.get(c)
         missing = [c for c, b in new.items() if b is None]
-        for c, b in zip(missing, self.whole(missing), strict=True):
+        for c, b in zip(missing, self.stretches(missing), strict=True):
             new[c] = b
         odd = iter(self.whole([t for t, x in zip(texts, lists, strict=True) if x is None]))
         out = [next(odd) if got is None else b"".join(got if None not in got else [new[c] if b is None else b for c, b in zip(chunks, got, strict=True)]) for chunks, got in zip(lists, found, strict=True)]
