@@ -48,7 +48,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
