@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import decontaminate, line_dedup, ngram_join, packing, quality
 from tokenloom.llm.common import stored, table, work_dir
-from tokenloom.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(docs)
 
 
 STAGES = [
