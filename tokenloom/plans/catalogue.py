@@ -178,7 +178,7 @@ def rank_lines(spark, sf):
     right = F.when(k % 11 == 3, F.lit("18446744073709551616")).when(k % 11 == 4, F.lit("abc")).otherwise(k.cast("string"))
     lines = table(spark, sf, "customer", "c_custkey", F.concat(left, F.when(k % 13 == 5, "").otherwise(" "), right).alias("value"))
     rows = artifacts.parsed_rank_lines(lines.select("value"))
-    return rows.groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.max(F.hex("token")).alias("token"))
+    return rows.groupBy(F.coalesce("error", F.lit("Ok")).alias("error")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("ids"), F.coalesce(F.max(F.hex("token")), F.lit("")).alias("token"))
 
 
 RANK_LINES = r"""
@@ -187,7 +187,7 @@ WITH l AS (SELECT CASE c_custkey % 7 WHEN 1 THEN to_base64(encode(c_name)) || '*
 p AS (SELECT v, strpos(v, ' ') AS sp, split_part(v, ' ', 1) AS a, substr(v, strpos(v, ' ') + 1) AS b FROM l),
 e AS (SELECT *, CASE WHEN sp = 0 THEN 'ParseFailure' WHEN NOT regexp_full_match(a, '(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{3}=|[A-Za-z0-9+/]{2}==)') THEN 'Base64DecodeFailure'
  WHEN try_cast(b AS BIGINT) IS NULL THEN 'EncodeFailure' END AS error FROM p)
-SELECT error, count(*) AS n, sum(CASE WHEN error IS NULL THEN b::BIGINT END)::BIGINT AS ids, max(CASE WHEN error IS NULL THEN hex(from_base64(a)) END) AS token FROM e GROUP BY error"""
+SELECT coalesce(error, 'Ok') AS error, count(*) AS n, coalesce(sum(CASE WHEN error IS NULL THEN b::BIGINT END), 0)::BIGINT AS ids, coalesce(max(CASE WHEN error IS NULL THEN hex(from_base64(a)) END), '') AS token FROM e GROUP BY error"""
 
 
 def duplicate_tokens(spark, sf):
