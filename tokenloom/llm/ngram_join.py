@@ -17,8 +17,9 @@ No task could hold one tree of all documents, so the trees are built in blocks:
    just share a passage (s of 0.1) meet in a key once in a thousand, so frequent passages make no large groups.
 3. Each class that shares a key is sent once, to the smallest class it shares one with, in blocks of ``BLOCK`` that all hold
    that class; each block is a tree joined with itself.  Links give components.
-4. A key whose classes are not all in one component then goes through trees again, as pairs of blocks when it is large, where only pairs
-   across components are compared.  After that every key's linked pairs are connected.
+4. A key whose classes are not all in one component then goes through trees again, where only pairs across components are
+   compared: at once if it is small, else each block of those outside its largest component with every block.  After that every
+   key's linked pairs are connected.
 
 A group of n copies costs O(n): equal sets collapse, near copies are connected by step 3 and skipped in 4.
 
@@ -217,9 +218,19 @@ def jaccard_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     now = stored(now, f"{path}/now")
     mixed = now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.sum(F.xxhash64("rep") / F.lit(2.0**20)).cast("long").alias("f"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.first("size").alias("size")).where("l != m")
     once = stored(mixed.groupBy("x", "f", "size").agg(F.min("key").alias("key")), f"{path}/mixed")  # equal groups once
-    rest = now.join(once.select("key", F.ceil(F.col("size") / block).alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rest = rest.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("task"), "rep", "label").distinct()
+    # outsiders are all but the key's largest component: they meet each other and every insider, insiders do not meet again
+    shares = now.join(once.select("key"), "key", "left_semi").groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    shares = shares.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
+    shares = stored(shares.select("key", F.col("main.label").alias("main"), "all", F.ceil(F.col("main.n") / block).alias("ins"), F.ceil((F.col("all") - F.col("main.n")) / block).alias("outs")), f"{path}/shares")
+    rest = now.join(shares, "key")
+    outside = F.col("label") != F.col("main")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("rep"), F.when(outside, F.col("outs")).otherwise(F.col("ins"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    meet = lambda kind, i, j: F.xxhash64("key", F.lit(kind), i, j)
+    among = F.transform(upto("outs"), lambda j: meet("outs", F.least("part", j), F.greatest("part", j)))
+    across = F.when(outside, F.transform(upto("ins"), lambda j: meet("both", F.col("part"), j))).otherwise(F.transform(upto("outs"), lambda i: meet("both", i, F.col("part"))))
+    tasks = F.when(F.col("all") <= block, F.array(F.xxhash64("key"))).when(outside, F.concat(among, across)).otherwise(across)
+    rest = rest.select(F.explode(tasks).alias("task"), "rep", "label").distinct()
     second = stored(joined(rest), f"{path}/links2")
     extra = second.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     extra = extra.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
