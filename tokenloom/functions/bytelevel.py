@@ -25,12 +25,15 @@ _FROM, _TO = "".join(map(chr, _MOVED)), "".join(ALPHABET[b] for b in _MOVED)
 
 
 def to_printable(text: Column) -> Column:
-    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _FROM, _TO)
+    most = F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _FROM.replace("\0", ""), _TO.replace(ALPHABET[0], ""))
+    return F.replace(most, F.lit("\0"), F.lit(ALPHABET[0]))
 
 
 def to_bytes(printable: Column) -> Column:
     """The bytes behind printable characters; all characters must be of the alphabet."""
-    return F.encode(F.translate(printable, _TO, _FROM), "ISO-8859-1")
+    # translate takes a NUL for deletion, so byte 0 is put in by itself
+    most = F.translate(printable, _TO.replace(ALPHABET[0], ""), _FROM.replace("\0", ""))
+    return F.encode(F.replace(most, F.lit(ALPHABET[0]), F.lit("\0")), "ISO-8859-1")
 
 
 def in_alphabet(text: Column) -> Column:

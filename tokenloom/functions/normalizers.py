@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import Error, TokenizerError
 from .patterns import escape, to_java
@@ -30,7 +31,7 @@ def replace_text(text: Column, pattern: str, content: str, *, is_regex: bool = F
     return F.regexp_replace(text, F.lit(to_java(pattern)), F.lit(literal_replacement(content)))
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def nfc_segments(segments: pa.Array) -> pa.Array:
     out = [None if row is None else [t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in row] for row in segments.to_pylist()]
     return pa.array(out, pa.list_(pa.string()))

@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import Error, TokenizerError
 
@@ -104,7 +105,7 @@ def find_all_with_gaps(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"{flags}(?:{body})|(?s:.)+?(?=(?:{body})|\z)"), F.lit(0))
 
 
-@F.arrow_udf("array<struct<start:bigint,end:bigint>>")
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 def _summed(matches: pa.Array, gaps: pa.Array) -> pa.Array:
     """Offsets from the byte lengths of matches and of the gaps before them."""
     out = []
