@@ -463,11 +463,18 @@ def test_quality(spark, docs, empty):
     assert quality.judged(empty).collect() == [] and quality.quality_filter(docs).columns == docs.columns
 
 
-def test_cut_models_still_cover_all(docs):
-    whole = quality.language_models(docs)
-    small = quality.language_models(docs, max_grams=2000)
-    assert set(small) <= set(whole) and sum(map(len, small.values())) < sum(map(len, whole.values()))
-    assert all(np.isfinite(quality.Model.frombytes(m).log2(np.array([0, 1, 1 << 39]))).all() for m in small.values())
+def test_blocks_give_the_whole_model(docs):
+    whole = quality.Counts(docs)
+    total = whole.table.count()
+    parts = quality.Counts(docs, max_grams=total // 3)
+    assert len(whole.blocks) == 1 and len(parts.blocks) >= 3
+    models = [parts.models(b) for b in parts.blocks]
+    assert sum(len(quality.Model.frombytes(m).levels[-1][0]) for x in models for m in x.values()) == total
+    score = lambda rows: {x["doc_id"]: (x["log2_perplexity"], x["kept"]) for x in rows.collect()}
+    one, many = score(quality.judged(docs)), score(quality.judged(docs, max_grams=total // 3, keep_text=False))
+    assert one.keys() == many.keys()
+    for d, (p, kept) in one.items():
+        assert kept == many[d][1] and ((p is None and many[d][0] is None) or abs(p - many[d][0]) < 1e-5)
 
 
 # --- 10

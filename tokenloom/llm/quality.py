@@ -6,8 +6,11 @@ and the sums are combined by a hash aggregate.  Orders below the highest count d
 from the highest.  A language's model is a sorted array of n-gram codes with probabilities and a sorted array
 of contexts with backoff weights for each order; n-grams of a text are looked up by binary search.
 
-The models go to all executors.  Their size is bounded: if there are more than ``max_grams`` distinct n-grams, the rarest counts are left
-out, as usual for such models (discounts still come from all counts), and backoff covers them.
+No n-gram is left out, so the model grows with the corpus.  What a task holds does not: n-grams are dealt to blocks of about
+``max_grams`` by the two bytes before the last, which an n-gram shares with all lower orders it backs off to (from the
+third up; the two below have at most 65,792 entries a language and go with every block).  A block is thus a model of its own for the bytes that
+follow its pairs; one pass over the documents for each block adds up their log probabilities, and only the models of one block
+are sent at a time.  A single pair has at most 2^24 n-grams a language.
 
 All documents are scored, then each language's bands follow from the quartiles of log perplexity of its documents that pass
 the base rules: ``[q1 - low_width * iqr, q3 + width * iqr]`` with ``iqr`` at least ``LEAST_IQR``.  Documents outside are rejected.
@@ -20,18 +23,21 @@ like an output give way.
 from __future__ import annotations
 
 import io
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import HASHES, slices, stored, texts_of, windows, work_dir
 
 ORDER = 5
+#: N-grams in memory at a time; more of them take more passes.
 MAX_GRAMS = 4_000_000
+PAIRS = 1 << 16
 #: Interquartile ranges above and below.  Text that the corpus repeats often is predicted well without being bad, so
 #: the lower band only goes for degenerate text.
 WIDTH, LOW_WIDTH = 6.0, 25.0
@@ -143,16 +149,20 @@ class Model:
         self.levels = levels
 
     @classmethod
-    def of(cls, gram: np.ndarray, n: np.ndarray, top: tuple[int, int, int, int] | None = None) -> Model:
-        """From the counts of the highest order; ``top`` has its counts of counts before any cut."""
+    def of(cls, gram: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None, tops: dict[int, tuple] | None = None) -> Model:
+        """From the counts of the highest order.
+
+        Those of one block come with what lies beyond it: ``pairs``, the sorted codes and counts of order 2, and ``tops``, the
+        counts of counts of the orders above.
+        """
         order = np.argsort(gram)
         counts = [(gram[order], n[order].astype(np.float64))]
         for k in range(ORDER - 1, 0, -1):
-            low, c = np.unique(counts[-1][0] & ((1 << 8 * k) - 1), return_counts=True)
+            low, c = pairs if pairs is not None and k == 2 else np.unique(counts[-1][0] & ((1 << 8 * k) - 1), return_counts=True)
             counts.append((low, c.astype(np.float64)))
         levels, below = [], None
         for k, (g, c) in enumerate(reversed(counts), 1):
-            of = top if top and k == ORDER else tuple(int((c == i).sum()) for i in (1, 2, 3, 4))
+            of = (tops or {}).get(k) or tuple(int((c == i).sum()) for i in (1, 2, 3, 4))
             d = discounts(*of)[np.minimum(c, 3).astype(np.int64)]
             context, first = np.unique(g >> 8, return_index=True)
             total = np.add.reduceat(c, first)
@@ -192,66 +202,120 @@ class Model:
         return cls([tuple(z[f"{i}_{j}"] for j in range(4)) for i in range(len(z.files) // 4)])
 
 
-def language_models(df: DataFrame, *, lang: str = "lang", text: str = "text", max_grams: int = MAX_GRAMS) -> dict[str, bytes]:
-    """A model for each language, of at most ``max_grams`` n-grams together."""
-    counts = stored(counted(df, lang, text), work_dir(df.sparkSession) + "/grams")
-    histogram = sorted((r["n"], r["count"]) for r in counts.groupBy("n").count().collect())  # a row a distinct count
-    total, least = sum(c for _, c in histogram), 1
-    for n, c in histogram:
-        if total <= max_grams:
-            break
-        total, least = total - c, n + 1
-    tops = {r["lang"]: tuple(r[f"n{i}"] for i in (1, 2, 3, 4)) for r in counts.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()}
-
-    def build(key, t):
-        name = key[0].as_py()
-        data = Model.of(np.asarray(t.column("gram")), np.asarray(t.column("n")), tops[name]).tobytes()
-        return pa.table({"lang": pa.array([name], pa.string()), "data": pa.array([data], pa.binary())})
-
-    return {r["lang"]: bytes(r["data"]) for r in counts.where(F.col("n") >= least).groupBy("lang").applyInArrow(build, "lang string, data binary").collect()}
+def pair_of(gram):
+    """The two bytes before the last, of codes in numpy or in a column."""
+    return F.shiftright(gram, 8).bitwiseAND(PAIRS - 1) if isinstance(gram, Column) else gram >> 8 & PAIRS - 1
+
+
+class Counts:
+    """The n-gram counts of a table, and what a block needs to know of the others."""
+
+    def __init__(self, df: DataFrame, *, lang: str = "lang", text: str = "text", max_grams: int = MAX_GRAMS):
+        path = work_dir(df.sparkSession)
+        self.table = stored(counted(df, lang, text), f"{path}/{ORDER}")
+        orders = {ORDER: self.table}
+        for k in range(ORDER - 1, 1, -1):
+            low = F.col("gram").bitwiseAND((1 << 8 * k) - 1)
+            orders[k] = stored(orders[k + 1].groupBy("lang", low.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"{path}/{k}")
+        seen = [t.groupBy("lang").agg(F.lit(k).alias("k"), *[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]) for k, t in orders.items() if k > 2]
+        self.tops: dict[str, dict[int, tuple]] = {}
+        for r in reduce(DataFrame.unionByName, seen).collect():  # a row a language and order
+            self.tops.setdefault(r["lang"], {})[r["k"]] = tuple(r[f"n{i}"] for i in (1, 2, 3, 4))
+        pairs = orders[2].toPandas().sort_values(["lang", "gram"])  # at most 65,536 rows a language
+        self.pairs = {name: (t["gram"].to_numpy(), t["n"].to_numpy()) for name, t in pairs.groupby("lang")}
+        #: The pairs (first, last) of each block.
+        self.blocks, first, total = [], 0, 0
+        for r in sorted(self.table.groupBy(pair_of(F.col("gram")).alias("pair")).count().collect()):  # at most 65,536 rows
+            if total and total + r["count"] > max_grams:
+                self.blocks.append((first, r["pair"] - 1))
+                first, total = r["pair"], 0
+            total += r["count"]
+        self.blocks.append((first, PAIRS - 1))
+
+    def models(self, block: tuple[int, int]) -> dict[str, bytes]:
+        """The model of each language for the pairs of a block."""
+        pairs, tops = self.pairs, self.tops
+
+        def build(key, t):
+            name = key[0].as_py()
+            data = Model.of(np.asarray(t.column("gram")), np.asarray(t.column("n")), pairs[name], tops[name]).tobytes()
+            return pa.table({"lang": pa.array([name], pa.string()), "data": pa.array([data], pa.binary())})
+
+        rows = self.table if block == (0, PAIRS - 1) else self.table.where(pair_of(F.col("gram")).between(*block))
+        return {r["lang"]: bytes(r["data"]) for r in rows.groupBy("lang").applyInArrow(build, "lang string, data binary").collect()}
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _OUT = [T.StructField(m, T.LongType()) for m in MEASURES] + [T.StructField("base_failed", T.BooleanType()), T.StructField("log2_perplexity", T.DoubleType())]
 
 
-def measured(df: DataFrame, models: dict[str, bytes], *, lang: str = "lang", text: str = "text", keep_text: bool = True) -> DataFrame:
+def measured(df: DataFrame, models: dict[str, bytes], block: tuple[int, int] = (0, PAIRS - 1), *, lang: str = "lang", text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with the base measures, ``base_failed`` and ``log2_perplexity`` (null without a byte of text)."""
     names = {f.name for f in _OUT} | {"kept"}
     kept = [f for f in df.schema.fields if f.name not in names and (keep_text or f.name != text)]
     schema = T.StructType(kept + _OUT)
-    sent = df.sparkSession.sparkContext.broadcast(models)
+    score_of = _scorer(df.sparkSession, models, block, lang, text)
 
     def run(batches):
-        made: dict[str, Model] = {}
         for whole in batches:
             for batch in slices(whole, text, 4 << 20):
                 texts = texts_of(batch.column(text))
                 rows = [base_measures(t) for t in texts]
-                score = np.full(len(texts), np.nan)
-                langs = np.array([x if x is not None else "" for x in batch.column(lang).to_pylist()], dtype=object)
-                for name in set(langs):
-                    at = np.flatnonzero(langs == name)
-                    data, lengths = stream([texts[i] for i in at])
-                    place, gram = pd.factorize(codes(data))
-                    if name in sent.value and len(gram):
-                        if name not in made:
-                            made[name] = Model.frombytes(sent.value[name])
-                        bits = np.r_[0.0, np.cumsum(made[name].log2(gram)[place])]
-                        ends = np.cumsum(lengths)
-                        with np.errstate(invalid="ignore", divide="ignore"):
-                            score[at] = -(bits[ends] - bits[ends - lengths]) / lengths
                 failed = [r[0] < 10 or 100 * r[4] > 20 * r[0] for r in rows]
-                arrays = [batch.column(f.name) for f in kept] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)] + [pa.array(failed, pa.bool_()), pa.array(score, pa.float64(), from_pandas=True)]
+                arrays = [batch.column(f.name) for f in kept] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)] + [pa.array(failed, pa.bool_()), pa.array(score_of(batch, texts), pa.float64(), from_pandas=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 
 
+def added_block(rows: DataFrame, models: dict[str, bytes], block: tuple[int, int], *, lang: str = "lang", text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``rows`` of an earlier pass, with the share of one more block in ``log2_perplexity``."""
+    kept = [f for f in rows.schema.fields if keep_text or f.name != text]
+    score_of = _scorer(rows.sparkSession, models, block, lang, text)
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, text, 4 << 20):
+                more = np.asarray(batch.column("log2_perplexity").to_numpy(zero_copy_only=False), dtype=np.float64) + score_of(batch, texts_of(batch.column(text)))
+                arrays = [pa.array(more, pa.float64(), from_pandas=True) if f.name == "log2_perplexity" else batch.column(f.name) for f in kept]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept])
+
+    return rows.mapInArrow(run, T.StructType(kept))
+
+
+def _scorer(spark: SparkSession, models: dict[str, bytes], block: tuple[int, int], lang: str, text: str):
+    """A function from a batch and its texts to the share of a block in their log2 perplexities (NaN without a byte)."""
+    sent = spark.sparkContext.broadcast(models)
+    made: dict[str, Model] = {}
+
+    def score_of(batch, texts: list[str]) -> np.ndarray:
+        score = np.full(len(texts), np.nan)
+        langs = np.array([x if x is not None else "" for x in batch.column(lang).cast(pa.string()).to_pylist()], dtype=object)
+        for name in set(langs):
+            at = np.flatnonzero(langs == name)
+            data, lengths = stream([texts[i] for i in at])
+            gram = codes(data)
+            inside = slice(None) if block == (0, PAIRS - 1) else np.flatnonzero((pair_of(gram) >= block[0]) & (pair_of(gram) <= block[1]))
+            place, distinct = pd.factorize(gram[inside])
+            bits = np.zeros(len(gram))
+            if len(distinct):
+                if name not in made:
+                    made[name] = Model.frombytes(sent.value[name])
+                bits[inside] = made[name].log2(distinct)[place]
+            ends, bits = np.cumsum(lengths), np.r_[0.0, np.cumsum(bits)]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score[at] = -(bits[ends] - bits[ends - lengths]) / lengths
+        return score
+
+    return score_of
+
+
 def judged(df: DataFrame, *, lang: str = "lang", text: str = "text", keep_text: bool = True, width: float = WIDTH, low_width: float = LOW_WIDTH, max_grams: int = MAX_GRAMS) -> DataFrame:
     """``df`` with the measures, ``log2_perplexity`` and ``kept``."""
-    models = language_models(df, lang=lang, text=text, max_grams=max_grams)
-    rows = stored(measured(df, models, lang=lang, text=text, keep_text=keep_text), work_dir(df.sparkSession) + "/measured")
+    counts, path, rows = Counts(df, lang=lang, text=text, max_grams=max_grams), work_dir(df.sparkSession), df
+    for i, block in enumerate(counts.blocks):
+        step = added_block if i else measured
+        rows = stored(step(rows, counts.models(block), block, lang=lang, text=text, keep_text=keep_text or i + 1 < len(counts.blocks)), f"{path}/{i}")
     key = F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(""))
     quartiles = rows.where("not base_failed and log2_perplexity is not null").groupBy(key.alias("lang_")).agg(F.percentile_approx("log2_perplexity", [0.25, 0.75], 10_000).alias("q"))
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_IQR))
