@@ -28,8 +28,6 @@ CAPACITIES = (512, 1024, 2048, 4096, 8192)
 PER_BIN = 256
 QUADRATIC = 1 / 16384
 GROUP_ITEMS = 20_000
-#: For lengths in bytes: four times as long.
-BYTE_LEVEL = {"capacities": (2048, 4096, 8192, 16384, 32768), "per_bin": 1024, "quadratic": 1 / 65536}
 
 
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, per_bin: float = PER_BIN, quadratic: float = QUADRATIC) -> tuple[list[int], list[int]]:
@@ -81,15 +79,8 @@ def best_fit_bins(df: DataFrame, *, doc_id: str = "doc_id", length: str = "n_tok
     return packed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
-def pack_documents(df: DataFrame, vocabulary: str | None = None, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Packs whole texts, one end token a document included.
-
-    Without a ``vocabulary`` lengths are those of a byte-level model (UTF-8 bytes); with one they are exact token counts under it,
-    which costs what ``token_counts`` costs.
-    """
-    if vocabulary is None:
-        lengths = df.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))) + 1).alias("n_tokens"))
-        return best_fit_bins(lengths, **(BYTE_LEVEL | options))
+def pack_documents(df: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Packs by exact token counts of the whole texts under ``vocabulary``, one end token a document included."""
     counts = prefix_token_counts(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), vocabulary, table=False)
     lengths = stored(counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")), work_dir(df.sparkSession) + "/lengths")
     return best_fit_bins(lengths, **options)
