@@ -10,7 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tokenloom.llm import decontaminate, html_blocks, line_dedup, ngram_join, packing, quality, sharding, token_binary, token_counts, warc
+from tokenloom.llm import common, decontaminate, html_blocks, line_dedup, ngram_join, packing, quality, sharding, token_binary, token_counts, warc
 from tokenloom.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -405,6 +405,19 @@ def test_base_measures():
         assert quality.base_measures(text) == brute(text), repr(text)
 
 
+def test_word_hashes_tell_words_apart():
+    r = random.Random(3)
+    words = [b"w%d" % r.randint(0, 5000) for _ in range(60_000)] + [b"x" * common.STRETCH, b"\xc3\xa9", b"y" * (common.STRETCH + 1), b"w1", b"y" * (common.STRETCH + 1), b"\0", b"\0\0"]
+    data = b" \t".join(words)
+    starts, ends = common.word_bounds(data)
+    assert [data[a:b] for a, b in zip(starts, ends, strict=True)] == words
+    seen = defaultdict(set)
+    for w, h in zip(words, common.word_hashes(data, starts, ends).tolist(), strict=True):
+        seen[w].add(h)
+    assert all(len(x) == 1 for x in seen.values()) and len(set.union(*seen.values())) == len(seen)
+    assert len(common.word_hashes(b" ", *common.word_bounds(b" "))) == 0 and len(common.word_bounds(b"")[0]) == 0
+
+
 def kneser_ney(texts):
     """Plain modified Kneser-Ney by its formulas."""
     N = quality.ORDER

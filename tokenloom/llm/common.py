@@ -89,34 +89,6 @@ def slices(batch, column: str, most_bytes: int = 8 << 20):
         yield batch.slice(start)
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered in two generations so that memory stays bounded."""
-
-    def __init__(self, most: int = 400_000):
-        self.young: dict[bytes, int] = {}
-        self.old: dict[bytes, int] = {}
-        self.most = most
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        get, digest = self.young.get, xxhash.xxh3_64_intdigest
-        found = [get(w) for w in words]
-        if None in found:
-            young, old = self.young, self.old
-            for i, h in enumerate(found):
-                if h is None:
-                    w = words[i]
-                    h = old.get(w)
-                    if h is None:
-                        h = digest(w)
-                    young[w] = found[i] = h
-            if len(young) > self.most:
-                self.old, self.young = young, {}
-        return np.array(found, dtype=np.uint64)
-
-
-HASHES = WordHashes()
 #: Fixed odd multipliers of the multilinear shingle hash and the finishing constants of a 64-bit mixer.
 _MUL = np.random.default_rng(20240229).integers(1, 1 << 63, size=16, dtype=np.uint64) | np.uint64(1)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -141,18 +113,49 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(total)
 
 
-def words_of(text: str, lower: bool = True) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+``; ``lower`` folds A-Z alone, as bytes.lower does."""
-    data = text.encode("utf-8", "surrogatepass")
-    return (data.lower() if lower else data).split()
+#: Words are hashed in stretches of so many bytes, which bounds the memory of a text of any length.
+STRETCH = 1 << 17
+_SPACE = np.isin(np.arange(256), list(WS.encode()))
+_BYTE = np.random.default_rng(65537).integers(1, 1 << 63, size=256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS, _INVERSES = (np.r_[np.uint64(1), np.cumprod(np.full(STRETCH, x, dtype=np.uint64))] for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes begin and end."""
+    edges = np.ones(len(data) + 2, dtype=np.int8)
+    edges[1:-1] = _SPACE[np.frombuffer(data, dtype=np.uint8)]
+    edges = np.diff(edges)
+    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+
+
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: polynomials over random values of their bytes, from running sums.  A word longer than a stretch is hashed alone."""
+    import xxhash
+
+    view, out, i = np.frombuffer(data, dtype=np.uint8), np.empty(len(starts), dtype=np.uint64), 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = int(np.searchsorted(ends, first + STRETCH, "right"))
+        if j <= i:
+            out[i] = xxhash.xxh3_64_intdigest(data[first : int(ends[i])])
+            i += 1
+            continue
+        sums = np.zeros(int(ends[j - 1]) - first + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[view[first : int(ends[j - 1])]] * _POWERS[: len(sums) - 1], out=sums[1:])
+        a = starts[i:j] - first
+        out[i:j] = mixed((sums[ends[i:j] - first] - sums[a]) * _INVERSES[a])
+        i = j
+    return out
 
 
 def shingle_set(text: str, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the ``k``-word shingles; fewer words make one shingle, none make no set."""
-    words = words_of(text)
-    if not words:
+    """Sorted distinct hashes of the ``k``-word shingles, A-Z lower-cased; fewer words make one shingle, none make no set."""
+    data = text.encode("utf-8", "surrogatepass").lower()
+    bounds = word_bounds(data)
+    if not len(bounds[0]):
         return np.empty(0, dtype=np.uint64)
-    h = HASHES.of(words)
+    h = word_hashes(data, *bounds)
     return np.unique(windows(h, k)) if len(h) >= k else windows(h, len(h))
 
 

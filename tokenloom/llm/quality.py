@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HASHES, slices, stored, texts_of, windows, work_dir
+from .common import slices, stored, texts_of, windows, word_bounds, word_hashes, work_dir
 
 ORDER = 5
 #: N-grams in memory at a time; more of them take more passes.
@@ -51,10 +51,10 @@ FLUSH = 2_000_000
 def base_measures(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     data = text.encode("utf-8", "surrogatepass")
-    words = data.split()
-    n = len(words)
-    joined = b"".join(words)
-    chars = len(joined) if text.isascii() else len(joined.decode("utf-8", "surrogatepass"))
+    starts, ends = word_bounds(data)
+    n, chars = len(starts), int((ends - starts).sum())
+    if not text.isascii():
+        chars -= int(np.count_nonzero(np.frombuffer(data, dtype=np.uint8) & 0xC0 == 0x80))
     symbols = len(data) - len(data.translate(None, SYMBOLS))
     seen: set[bytes] = set()
     dup = 0
@@ -65,7 +65,7 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
             seen.add(line)
     repeated = 0
     if n >= WINDOW:
-        w = windows(HASHES.of(words), WINDOW)
+        w = windows(word_hashes(data, starts, ends), WINDOW)
         s = np.sort(w)
         twice = s[1:][s[1:] == s[:-1]]
         if len(twice):
