@@ -490,6 +490,46 @@ def test_blocks_give_the_whole_model(docs):
         assert kept == many[d][1] and ((p is None and many[d][0] is None) or abs(p - many[d][0]) < 1e-5)
 
 
+def garbage(r, n):
+    """Texts of about n characters that no language model has reason to expect, in words of 3 to 9 characters."""
+    kinds = {
+        "letters": "abcdefghijklmnopqrstuvwxyz",
+        "digits": "0123456789",
+        "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    }
+    for kind, alphabet in kinds.items():
+        yield kind, " ".join("".join(r.choice(alphabet) for _ in range(r.randint(3, 9))) for _ in range(n // 7))
+
+
+def test_garbage_does_not_vouch_for_itself(spark):
+    r = random.Random(12)
+    clean = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    for n in (200, 1000, 10_000):
+        for i, (kind, text) in enumerate(garbage(r, n)):
+            rows = [(-1, text, "en"), (-2, text, "en")] if i % 2 else [(-1, text, "en")]  # nor does an exact copy
+            out = {x["doc_id"]: x for x in quality.judged(clean.unionByName(spark.createDataFrame(rows, clean.schema))).collect()}
+            scores = sorted(x["log2_perplexity"] for d, x in out.items() if d >= 0)
+            for d in [x[0] for x in rows]:
+                assert not out[d]["base_failed"] and out[d]["log2_perplexity"] > scores[int(0.9 * len(scores))], (kind, n)
+                assert not out[d]["kept"], (kind, n, out[d])
+
+
+def test_scores_are_those_of_the_other_half(spark, docs):
+    texts = {x["doc_id"]: x["text"] for x in docs.where("lang = 'fr' and text <> ''").collect()}
+    texts |= {-1: "only one of its language here"}
+    rows = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(-1, texts[-1], "xx")], "doc_id long, text string, lang string"))
+    got = {x["doc_id"]: x["log2_perplexity"] for x in quality.judged(rows).collect()}
+    assert got[-1] == 8.0
+    half = {d: quality.half_of(quality.cleaned(t)) for d, t in texts.items() if d >= 0}
+    assert set(half.values()) == {0, 1}
+    listed = [x["text"] for x in docs.where("lang = 'fr' and text <> ''").collect()]  # with the repeated row
+    p = [kneser_ney([t for t in listed if quality.half_of(quality.cleaned(t)) != h]) for h in (0, 1)]
+    for d in sorted(half)[:4]:
+        s = b"\0" * (quality.ORDER - 1) + quality.cleaned(texts[d])
+        grams = [s[i - quality.ORDER : i] for i in range(quality.ORDER, len(s) + 1)]
+        assert abs(got[d] + sum(np.log2(p[half[d]](g)) for g in grams) / len(grams)) < 1e-4
+
+
 # --- 10
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "ä\r\nWARC/1.1\r\n" * 200

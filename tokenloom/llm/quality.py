@@ -1,16 +1,20 @@
 """Quality rules: word and repetition measures, then n-gram perplexity bands for each language.
 
 The language model is an interpolated modified Kneser-Ney model over the bytes of the text (white space runs as one space,
-``ORDER`` - 1 zero bytes in front).  Spark counts the n-grams of all documents by language: each task sums its own batches,
+``ORDER`` - 1 zero bytes in front).  Documents are dealt to two halves by a hash of these bytes, and each half is scored with the
+counts of the other: no document, nor an exact copy of it, has a part in the model that scores it.  A document whose language
+has no text in the other half is scored by the uniform model, 8 bits a byte.
+
+Spark counts the n-grams of all documents by language and half: each task sums its own batches,
 and the sums are combined by a hash aggregate.  Orders below the highest count distinct left neighbours, so all follow
-from the highest.  A language's model is a sorted array of n-gram codes with probabilities and a sorted array
+from the highest.  The model of a language and half is a sorted array of n-gram codes with probabilities and a sorted array
 of contexts with backoff weights for each order; n-grams of a text are looked up by binary search.
 
 No n-gram is left out, so the model grows with the corpus.  What a task holds does not: n-grams are dealt to blocks of about
 ``max_grams`` by the two bytes before the last, which an n-gram shares with all lower orders it backs off to (from the
-third up; the two below have at most 65,792 entries a language and go with every block).  A block is thus a model of its own for the bytes that
+third up; the two below have at most 65,792 entries a language and half and go with every block).  A block is thus a model of its own for the bytes that
 follow its pairs; one pass over the documents for each block adds up their log probabilities, and only the models of one block
-are sent at a time.  A single pair has at most 2^24 n-grams a language.
+are sent at a time.  A single pair has at most 2^24 n-grams a language and half.
 
 All documents are scored, then each language's bands follow from the quartiles of log perplexity of its documents that pass
 the base rules: ``[q1 - low_width * iqr, q3 + width * iqr]`` with ``iqr`` at least ``LEAST_IQR``.  Documents outside are rejected.
@@ -23,6 +27,7 @@ like an output give way.
 from __future__ import annotations
 
 import io
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -78,10 +83,23 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
 
 
 # --- n-grams
+def cleaned(text: str) -> bytes:
+    """The bytes of a text that the model sees."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").replace(b"\0", b"\1").split())
+
+
+def half_of(part: bytes) -> int:
+    """The half, 0 or 1, of a cleaned text; equal texts share it."""
+    return zlib.crc32(part) & 1
+
+
 def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one byte array, each after ORDER - 1 zero bytes, and the lengths of the texts."""
+    return joined([cleaned(t) for t in texts])
+
+
+def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     pad = b"\0" * (ORDER - 1)
-    parts = [b" ".join(t.encode("utf-8", "surrogatepass").replace(b"\0", b"\1").split()) for t in texts]
     return np.frombuffer(b"".join(pad + p for p in parts), dtype=np.uint8), np.array([len(p) for p in parts], dtype=np.int64)
 
 
@@ -96,35 +114,35 @@ def codes(data: np.ndarray) -> np.ndarray:
 
 
 def counted(df: DataFrame, lang: str, text: str) -> DataFrame:
-    """(lang, gram, n): how often each n-gram stands in the documents of a language."""
+    """(lang, half, gram, n): how often each n-gram stands in the documents of a language and half."""
     rows = df.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
-        sums: dict[str, list] = {}
+        sums: dict[tuple[str, int], list] = {}
 
         def emit():
-            for name, parts in sums.items():
+            for (name, half), parts in sums.items():
                 gram, n = added(parts)
-                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(gram), np.int32), [name]).cast(pa.string()), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(gram), np.int32), [name]).cast(pa.string()), pa.array(np.full(len(gram), half, np.int32)), pa.array(gram), pa.array(n)], names=["lang", "half", "gram", "n"])
             sums.clear()
 
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
-                by: dict[str, list[str]] = {}
-                for name, t in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")), strict=True):
-                    by.setdefault(name, []).append(t)
-                for name, texts in by.items():
-                    place, gram = pd.factorize(codes(stream(texts)[0]))
+                by: dict[tuple[str, int], list[bytes]] = {}
+                for name, t in zip(batch.column("lang").to_pylist(), map(cleaned, texts_of(batch.column("text"))), strict=True):
+                    by.setdefault((name, half_of(t)), []).append(t)
+                for key, texts in by.items():
+                    place, gram = pd.factorize(codes(joined(texts)[0]))
                     if len(gram):
-                        parts = sums.setdefault(name, [])
+                        parts = sums.setdefault(key, [])
                         parts.append((gram, np.bincount(place, minlength=len(gram))))
                         if len(parts) > 8:
-                            sums[name] = [added(parts)]
+                            sums[key] = [added(parts)]
             if sum(len(p[0]) for x in sums.values() for p in x) > FLUSH:
                 yield from emit()
         yield from emit()
 
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, half int, gram long, n long").groupBy("lang", "half", "gram").agg(F.sum("n").alias("n"))
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +196,10 @@ class Model:
         """log2 P(last byte | bytes before) of highest-order codes."""
         out = np.zeros(len(gram))
         todo = np.arange(len(gram))
-        for k in range(ORDER, 0, -1):
+        for k in range(len(self.levels), 0, -1):
             g, p, context, gamma = self.levels[k - 1]
+            if not len(g):
+                continue
             c = gram[todo] & ((1 << 8 * k) - 1)
             at = np.minimum(np.searchsorted(g, c), len(g) - 1)
             hit = g[at] == c
@@ -216,13 +236,13 @@ class Counts:
         orders = {ORDER: self.table}
         for k in range(ORDER - 1, 1, -1):
             low = F.col("gram").bitwiseAND((1 << 8 * k) - 1)
-            orders[k] = stored(orders[k + 1].groupBy("lang", low.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"{path}/{k}")
-        seen = [t.groupBy("lang").agg(F.lit(k).alias("k"), *[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]) for k, t in orders.items() if k > 2]
-        self.tops: dict[str, dict[int, tuple]] = {}
-        for r in reduce(DataFrame.unionByName, seen).collect():  # a row a language and order
-            self.tops.setdefault(r["lang"], {})[r["k"]] = tuple(r[f"n{i}"] for i in (1, 2, 3, 4))
-        pairs = orders[2].toPandas().sort_values(["lang", "gram"])  # at most 65,536 rows a language
-        self.pairs = {name: (t["gram"].to_numpy(), t["n"].to_numpy()) for name, t in pairs.groupby("lang")}
+            orders[k] = stored(orders[k + 1].groupBy("lang", "half", low.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"{path}/{k}")
+        seen = [t.groupBy("lang", "half").agg(F.lit(k).alias("k"), *[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]) for k, t in orders.items() if k > 2]
+        self.tops: dict[tuple[str, int], dict[int, tuple]] = {}
+        for r in reduce(DataFrame.unionByName, seen).collect():  # a row a language, half and order
+            self.tops.setdefault((r["lang"], r["half"]), {})[r["k"]] = tuple(r[f"n{i}"] for i in (1, 2, 3, 4))
+        pairs = orders[2].toPandas().sort_values(["lang", "half", "gram"])  # at most 65,536 rows a language and half
+        self.pairs = {key: (t["gram"].to_numpy(), t["n"].to_numpy()) for key, t in pairs.groupby(["lang", "half"])}
         #: The pairs (first, last) of each block.
         self.blocks, first, total = [], 0, 0
         for r in sorted(self.table.groupBy(pair_of(F.col("gram")).alias("pair")).count().collect()):  # at most 65,536 rows
@@ -232,24 +252,26 @@ class Counts:
             total += r["count"]
         self.blocks.append((first, PAIRS - 1))
 
-    def models(self, block: tuple[int, int]) -> dict[str, bytes]:
-        """The model of each language for the pairs of a block."""
+    def models(self, block: tuple[int, int]) -> dict[tuple[str, int], bytes]:
+        """The model of each language and half for the pairs of a block; one without n-grams there has the two lowest orders."""
         pairs, tops = self.pairs, self.tops
 
         def build(key, t):
-            name = key[0].as_py()
-            data = Model.of(np.asarray(t.column("gram")), np.asarray(t.column("n")), pairs[name], tops[name]).tobytes()
-            return pa.table({"lang": pa.array([name], pa.string()), "data": pa.array([data], pa.binary())})
+            name, half = key[0].as_py(), key[1].as_py()
+            data = Model.of(np.asarray(t.column("gram")), np.asarray(t.column("n")), pairs[name, half], tops[name, half]).tobytes()
+            return pa.table({"lang": pa.array([name], pa.string()), "half": pa.array([half], pa.int32()), "data": pa.array([data], pa.binary())})
 
         rows = self.table if block == (0, PAIRS - 1) else self.table.where(pair_of(F.col("gram")).between(*block))
-        return {r["lang"]: bytes(r["data"]) for r in rows.groupBy("lang").applyInArrow(build, "lang string, data binary").collect()}
+        made = {(r["lang"], r["half"]): bytes(r["data"]) for r in rows.groupBy("lang", "half").applyInArrow(build, "lang string, half int, data binary").collect()}
+        none = np.empty(0, dtype=np.int64)
+        return {key: made.get(key) or Model.of(none, none, pairs[key], tops[key]).tobytes() for key in pairs}
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _OUT = [T.StructField(m, T.LongType()) for m in MEASURES] + [T.StructField("base_failed", T.BooleanType()), T.StructField("log2_perplexity", T.DoubleType())]
 
 
-def measured(df: DataFrame, models: dict[str, bytes], block: tuple[int, int] = (0, PAIRS - 1), *, lang: str = "lang", text: str = "text", keep_text: bool = True) -> DataFrame:
+def measured(df: DataFrame, models: dict[tuple[str, int], bytes], block: tuple[int, int] = (0, PAIRS - 1), *, lang: str = "lang", text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with the base measures, ``base_failed`` and ``log2_perplexity`` (null without a byte of text)."""
     names = {f.name for f in _OUT} | {"kept"}
     kept = [f for f in df.schema.fields if f.name not in names and (keep_text or f.name != text)]
@@ -268,7 +290,7 @@ def measured(df: DataFrame, models: dict[str, bytes], block: tuple[int, int] = (
     return df.mapInArrow(run, schema)
 
 
-def added_block(rows: DataFrame, models: dict[str, bytes], block: tuple[int, int], *, lang: str = "lang", text: str = "text", keep_text: bool = True) -> DataFrame:
+def added_block(rows: DataFrame, models: dict[tuple[str, int], bytes], block: tuple[int, int], *, lang: str = "lang", text: str = "text", keep_text: bool = True) -> DataFrame:
     """``rows`` of an earlier pass, with the share of one more block in ``log2_perplexity``."""
     kept = [f for f in rows.schema.fields if keep_text or f.name != text]
     score_of = _scorer(rows.sparkSession, models, block, lang, text)
@@ -283,25 +305,27 @@ def added_block(rows: DataFrame, models: dict[str, bytes], block: tuple[int, int
     return rows.mapInArrow(run, T.StructType(kept))
 
 
-def _scorer(spark: SparkSession, models: dict[str, bytes], block: tuple[int, int], lang: str, text: str):
+def _scorer(spark: SparkSession, models: dict[tuple[str, int], bytes], block: tuple[int, int], lang: str, text: str):
     """A function from a batch and its texts to the share of a block in their log2 perplexities (NaN without a byte)."""
     sent = spark.sparkContext.broadcast(models)
-    made: dict[str, Model] = {}
+    made: dict[tuple[str, int], Model] = {}
 
     def score_of(batch, texts: list[str]) -> np.ndarray:
         score = np.full(len(texts), np.nan)
         langs = np.array([x if x is not None else "" for x in batch.column(lang).cast(pa.string()).to_pylist()], dtype=object)
-        for name in set(langs):
-            at = np.flatnonzero(langs == name)
-            data, lengths = stream([texts[i] for i in at])
+        parts = [cleaned(t) for t in texts]
+        other = np.array([1 - half_of(p) for p in parts])
+        for key in set(zip(langs, other.tolist(), strict=True)):
+            at = np.flatnonzero((langs == key[0]) & (other == key[1]))
+            data, lengths = joined([parts[i] for i in at])
             gram = codes(data)
             inside = slice(None) if block == (0, PAIRS - 1) else np.flatnonzero((pair_of(gram) >= block[0]) & (pair_of(gram) <= block[1]))
             place, distinct = pd.factorize(gram[inside])
             bits = np.zeros(len(gram))
             if len(distinct):
-                if name not in made:
-                    made[name] = Model.frombytes(sent.value[name])
-                bits[inside] = made[name].log2(distinct)[place]
+                if key not in made:
+                    made[key] = Model.frombytes(sent.value[key]) if key in sent.value else Model([])
+                bits[inside] = made[key].log2(distinct)[place]
             ends, bits = np.cumsum(lengths), np.r_[0.0, np.cumsum(bits)]
             with np.errstate(invalid="ignore", divide="ignore"):
                 score[at] = -(bits[ends] - bits[ends - lengths]) / lengths
