@@ -530,6 +530,28 @@ def test_scores_are_those_of_the_other_half(spark, docs):
         assert abs(got[d] + sum(np.log2(p[half[d]](g)) for g in grams) / len(grams)) < 1e-4
 
 
+def test_bands_reject_spam_wrong_language_and_repetition(spark):
+    r = random.Random(14)
+    # without the table's own symbol spam: a corpus that carries a kind of spam on many documents teaches it to the model
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where(r"not text rlike '[#*$%&|<>]|!!'")
+    rows = table.collect()
+    good = lambda lang: [x for x in rows if x["lang"] == lang and len(x["text"]) > 600 and quality.base_measures(x["text"])[2] == 0 and not quality.base_measures(x["text"])[4]]
+    clean, german = good("en"), good("de")
+    planted = {("spam", n): " ".join(w + r.choice(("***", "&&&", " |")) for w in x["text"][:n].split()) for n, x in zip((600, 1200, 5000), clean, strict=False)}
+    planted |= {("wrong language", n): x["text"][:n] for n, x in zip((120, 300, 5000), german, strict=False)}
+    planted |= {("repeated", n): " ".join(r.choice(("the", "of", "and", "in", "to", "is", "was")) for _ in range(n)) for n in (80, 120, 160)}
+    short = [x["text"][: x["text"].index(" ", 150)] for x in clean[:40]]
+    more = [(-1 - i, t, "en") for i, t in enumerate(planted.values())] + [(-1000 - i, t, "en") for i, t in enumerate(short)]
+    out = {x["doc_id"]: x for x in quality.judged(table.unionByName(spark.createDataFrame(more, table.schema))).collect()}
+    middle = float(np.median([x["log2_perplexity"] for x in out.values() if x["lang"] == "en" and x["log2_perplexity"]]))
+    for i, name in enumerate(planted):
+        x = out[-1 - i]
+        assert not x["base_failed"] and not x["kept"], (name, x["log2_perplexity"])
+        assert (x["log2_perplexity"] < middle) == (name[0] == "repeated"), (name, x["log2_perplexity"], middle)
+    assert sum(out[x["doc_id"]]["kept"] for x in clean + german) >= 0.9 * len(clean + german)
+    assert sum(out[-1000 - i]["kept"] for i in range(len(short))) >= 0.9 * len(short)
+
+
 # --- 10
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "ä\r\nWARC/1.1\r\n" * 200

@@ -17,7 +17,9 @@ follow its pairs; one pass over the documents for each block adds up their log p
 are sent at a time.  A single pair has at most 2^24 n-grams a language and half.
 
 All documents are scored, then each language's bands follow from the quartiles of log perplexity of its documents that pass
-the base rules: ``[q1 - low_width * iqr, q3 + width * iqr]`` with ``iqr`` at least ``LEAST_IQR``.  Documents outside are rejected.
+the base rules: ``[q1 - low_width * iqr * s, q3 + width * iqr * s]`` with ``iqr`` at least ``LEAST_IQR``.  Documents outside are rejected.
+``s`` is 1, and for a document shorter than the language's median the root of median over length: the mean over fewer bytes spreads
+that much wider without the text being any worse.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null language is one of its own; repeated rows are
 answered (and counted) one by one; texts of any length are processed whole; an empty table gives no row; input columns named
@@ -43,9 +45,9 @@ ORDER = 5
 #: N-grams in memory at a time; more of them take more passes.
 MAX_GRAMS = 4_000_000
 PAIRS = 1 << 16
-#: Interquartile ranges above and below.  Text that the corpus repeats often is predicted well without being bad, so
-#: the lower band only goes for degenerate text.
-WIDTH, LOW_WIDTH = 6.0, 25.0
+#: Interquartile ranges above and below.  Text with lines that the corpus repeats often is predicted well without being bad, so
+#: the lower band is the wider one.
+WIDTH, LOW_WIDTH = 1.5, 2.0
 LEAST_IQR = 0.02
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -341,12 +343,14 @@ def judged(df: DataFrame, *, lang: str = "lang", text: str = "text", keep_text:
         step = added_block if i else measured
         rows = stored(step(rows, counts.models(block), block, lang=lang, text=text, keep_text=keep_text or i + 1 < len(counts.blocks)), f"{path}/{i}")
     key = F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(""))
-    quartiles = rows.where("not base_failed and log2_perplexity is not null").groupBy(key.alias("lang_")).agg(F.percentile_approx("log2_perplexity", [0.25, 0.75], 10_000).alias("q"))
+    length = F.greatest(F.col("word_chars") + F.col("n_words"), F.lit(1))
+    quartiles = rows.where("not base_failed and log2_perplexity is not null").groupBy(key.alias("lang_")).agg(F.percentile_approx("log2_perplexity", [0.25, 0.75], 10_000).alias("q"), F.percentile_approx(length, 0.5, 10_000).alias("typical_"))
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_IQR))
-    bands = stored(quartiles.select("lang_", (F.col("q")[0] - low_width * spread).alias("low_"), (F.col("q")[1] + width * spread).alias("high_")), work_dir(df.sparkSession) + "/bands")
+    bands = stored(quartiles.select("lang_", "typical_", F.col("q")[0].alias("q1_"), F.col("q")[1].alias("q3_"), spread.alias("spread_")), work_dir(df.sparkSession) + "/bands")
     names = [f.name for f in rows.schema.fields]
     out = rows.withColumn("lang_", key).join(bands, "lang_", "left")
-    inside = F.coalesce(F.col("log2_perplexity").between(F.col("low_"), F.col("high_")), F.lit(False))
+    reach = F.col("spread_") * F.sqrt(F.greatest(F.col("typical_") / length, F.lit(1.0)))
+    inside = F.coalesce(F.col("log2_perplexity").between(F.col("q1_") - low_width * reach, F.col("q3_") + width * reach), F.lit(False))
     return out.select(*[F.col(f"`{n}`") for n in names], (~F.col("base_failed") & inside).alias("kept"))
 
 
