@@ -354,6 +354,17 @@ def test_jaccard_classes(spark, docs, empty):
     assert ngram_join.jaccard_classes(empty).collect() == []
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    r = random.Random(21)
+    text = lambda: " ".join("".join(r.choice("etaoinshrdlucm") for _ in range(5)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t + " end"
+    rows = [(None, a), (None, b), (None, b), (None, None), (7, c), (7, d), (8, near(d)), (9, near(a)), (6, near(c)), (10, e), (10, e), (11, None), (12, "")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, a), (None, b), (None, None), (7, d), (6, near(c)), (10, e), (11, None), (12, "")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_tree_prunes_only_what_cannot_link():
     rng = np.random.default_rng(3)
     base = np.sort(rng.integers(0, 1 << 63, 200, dtype=np.uint64))

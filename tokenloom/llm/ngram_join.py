@@ -244,9 +244,14 @@ def jaccard_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 
 def one_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``df`` with one document of each component, the one of the smallest doc_id; documents without words all stay."""
-    found = jaccard_classes(df, doc_id=doc_id, text=text, **options)
-    name = "__tokenloom_key"
-    keep = stored(found.where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(name)).distinct(), work_dir(df.sparkSession) + "/keep")
-    keyed = df.withColumn(name, F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)))
+    """``df`` with one document of each component, the one of the smallest doc_id; documents without words all stay.
+
+    A document is a doc_id with a text: rows that share an id, or have none, but differ in text are documents of their own.
+    """
+    path, name = work_dir(df.sparkSession), "__tokenloom_key"
+    number = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID))
+    keyed = df.withColumn(name, F.xxhash64(number, F.col(f"`{text}`")))
+    found = jaccard_classes(keyed, doc_id=name, text=text, **options).select(F.col("doc_id").alias(name), "component_id").distinct()
+    found = found.join(keyed.select(name, number.alias("number")).distinct(), name)
+    keep = stored(found.groupBy("component_id").agg(F.min(F.struct("number", name)).alias("least")).select(f"least.{name}"), f"{path}/keep")
     return keyed.join(keep, name, "left_semi").dropDuplicates([name]).drop(name)
