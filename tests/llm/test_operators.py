@@ -300,6 +300,24 @@ def test_line_dedup_is_reversible(spark, docs):
     assert texts(store.insert(frame([405]))) == sorted((i, t, n) for i, t, n in texts(store))
 
 
+def test_line_store_outgrows_its_filters(spark):
+    line = lambda i: f"line number {i} of those that grow the filter beyond its table"
+    store = line_dedup.LineStore(spark, shards=1, min_docs=1)
+    for few in (range(3), range(3, 200), range(200, 900)):
+        store.insert(spark.createDataFrame([(i, line(i)) for i in few], "doc_id long, text string"))
+    again = spark.createDataFrame([(-i, f"{line(i)}\nown") for i in range(900)] + [(5000, "own")], "doc_id long, text string")
+    assert [x["n_keys"] for x in store.filters.collect()] == [900]
+    assert {x["text"] for x in store.apply(again).collect() if x["doc_id"] < 0} == {"own"}
+
+
+def test_line_dedup_gives_way_to_names(spark):
+    rows = [(i, f"{LONG}\nown {i}", "x", 1, 2) for i in range(6)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, N_LINES string, gone_ int, id_ int")
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "gone_", "id_", "n_lines", "n_dropped"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(i, f"own {i}", 1, 2, 2, 1) for i in range(5)] + [(5, rows[5][1], 1, 2, 2, 0), (None, None, None, None, 1, 0)]))
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(5)
     keys, others = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)

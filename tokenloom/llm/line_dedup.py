@@ -11,17 +11,19 @@ count.  The store holds, in versions that are written whole and then referred to
 deleted from their shard's filter, so a deletion undoes an insertion exactly.  ``apply`` looks lines up in the filters
 and only the lines that pass (repeated ones and a few false positives) are joined to the exact table, which decides.
 
-Filters are sent to all executors only while together they take at most ``broadcast_bytes``; beyond, the lines go straight to
-the exact join, with the same result.  A hot line is one row a document in postings; counts are combined before the shuffle,
-and the join reads written tables, so its partition can be split.
+Filters are sent to all executors only while together they take at most ``broadcast_bytes``; beyond, all lines go straight to
+the exact join and all texts to the join with what they lose, with the same result.  A hot line is one row a document in postings;
+counts are combined before the shuffle, and the join reads written tables, so its partition can be split.
 
 Edge cases: a null or empty text is one empty line; rows of one doc_id count as one document; a null doc_id counts
 as one document below all others; repeated rows are answered one by one; texts of any length are processed whole; an empty
-table gives no row; input columns named like an output give way.
+table gives no row; input columns named like an output, in any case of letters, give way.
 """
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,15 +34,9 @@ from pyspark.sql import types as T
 from .common import NO_ID, WS, slices, stored, texts_of, work_dir
 
 MIN_CHARS, MIN_DOCS = 40, 5
-SHARD_KEYS = 500_000
 BROADCAST_BYTES = 64 << 20
 
 
-def line_key(line: str) -> str:
-    s = line.strip(WS)
-    return s.lower() if s.isascii() else s.encode("utf-8").lower().decode("utf-8")
-
-
 def key_hash(line: str, min_chars: int) -> tuple[int, int] | None:
     """Two signed halves of the key's 128-bit hash, or None for a short key."""
     s = line.strip(WS)
@@ -122,6 +118,46 @@ def filter_of(keys: np.ndarray) -> CuckooFilter:
 KEY = ["shard", "k1", "k2"]
 
 
+def long_lines(texts: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which text, and the halves of the key's hash, of the distinct long lines of each text."""
+    place, k1, k2 = [], [], []
+    for i, t in enumerate(texts):
+        if len(t) >= min_chars:
+            keys = {key_hash(x, min_chars) for x in t.split("\n") if len(x) >= min_chars} - {None}
+            place += [i] * len(keys)
+            for a, b in keys:
+                k1.append(a)
+                k2.append(b)
+    return np.array(place, np.int64), np.array(k1, np.int64), np.array(k2, np.int64)
+
+
+def shard_of(k1: np.ndarray, shards: int) -> np.ndarray:
+    return ((k1.view(np.uint64) >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
+
+
+class Filters:
+    """The filters of a store, sent to all executors."""
+
+    def __init__(self, store: LineStore, data: dict[int, bytes]):
+        self.shards, self.sent = store.shards, store.spark.sparkContext.broadcast(data)
+        self.made: dict[int, CuckooFilter] | None = None
+
+    def __getstate__(self):
+        return {"shards": self.shards, "sent": self.sent, "made": None}
+
+    def lines(self, texts: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``long_lines`` returns, and which of these lines pass."""
+        if self.made is None:
+            self.made = {k: CuckooFilter(data=v) for k, v in self.sent.value.items()}
+        place, k1, k2 = long_lines(texts, min_chars)
+        shard, passed = shard_of(k1, self.shards), np.zeros(len(k1), dtype=bool)
+        for s in np.unique(shard):
+            if int(s) in self.made:
+                at = np.flatnonzero(shard == s)
+                passed[at] = self.made[int(s)].holds(k2[at].view(np.uint64))
+        return place, k1, k2, passed
+
+
 class LineStore:
     """The tables of one store; each change writes new versions of them below ``path``."""
 
@@ -131,33 +167,21 @@ class LineStore:
         self.version = 0
         self.postings = self.references = self.filters = None
 
-    def pairs(self, df: DataFrame, doc_id: str, text: str, filters: dict[int, bytes] | None = None) -> DataFrame:
+    def pairs(self, df: DataFrame, doc_id: str, text: str, filters: Filters | None = None) -> DataFrame:
         """(shard, k1, k2, doc_id) of the long lines, each once a row of ``df``; with ``filters`` only of those that pass."""
         shards, min_chars = self.shards, self.min_chars
-        sent = self.spark.sparkContext.broadcast(filters) if filters is not None else None
 
         def run(batches):
-            made = {k: CuckooFilter(data=v) for k, v in sent.value.items()} if sent is not None else None
             for whole in batches:
                 for batch in slices(whole, "text"):
-                    ids, k1, k2 = [], [], []
-                    for d, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                        if len(t) >= min_chars:
-                            keys = {key_hash(x, min_chars) for x in t.split("\n") if len(x) >= min_chars} - {None}
-                            ids += [d] * len(keys)
-                            for a, b in keys:
-                                k1.append(a)
-                                k2.append(b)
-                    ids, k1, k2 = np.array(ids, np.int64), np.array(k1, np.int64), np.array(k2, np.int64)
-                    shard = ((k1.view(np.uint64) >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
-                    if made is not None:
-                        passed = np.zeros(len(ids), dtype=bool)
-                        for s in np.unique(shard):
-                            if int(s) in made:
-                                at = np.flatnonzero(shard == s)
-                                passed[at] = made[int(s)].holds(k2[at].view(np.uint64))
-                        ids, k1, k2, shard = ids[passed], k1[passed], k2[passed], shard[passed]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(k1), pa.array(k2), pa.array(ids)], names=[*KEY, "doc_id"])
+                    ids = np.asarray(batch.column("doc_id"))
+                    texts = texts_of(batch.column("text"))
+                    if filters is not None:
+                        place, k1, k2, passed = filters.lines(texts, min_chars)
+                        place, k1, k2 = place[passed], k1[passed], k2[passed]
+                    else:
+                        place, k1, k2 = long_lines(texts, min_chars)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard_of(k1, shards)), pa.array(k1), pa.array(k2), pa.array(ids[place])], names=[*KEY, "doc_id"])
 
         rows = df.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(f"`{text}`").alias("text"))
         return rows.mapInArrow(run, "shard int, k1 long, k2 long, doc_id long")
@@ -168,43 +192,35 @@ class LineStore:
     def _refilter(self, before: DataFrame | None) -> None:
         """Brings the filters up to date with the references: only keys that crossed the threshold are moved."""
         hot = self.references.where(F.col("n_docs") >= self.min_docs).select(*KEY)
-        if before is None:
-            moved = hot.withColumn("way", F.lit(1))
-        else:
-            old = before.where(F.col("n_docs") >= self.min_docs).select(*KEY)
-            moved = hot.join(old, KEY, "left_anti").withColumn("way", F.lit(1)).unionByName(old.join(hot, KEY, "left_anti").withColumn("way", F.lit(-1)))
         schema = "shard int, n_keys long, data binary"
 
-        def update(key, changes, now, keys):
-            shard = key[0].as_py()
+        def update(key, changes, now):
+            """A shard's filter after its changes; one that does not hold them has no data and is rebuilt."""
             way = np.asarray(changes.column("way"))
             k = np.asarray(changes.column("k2")).astype(np.int64).view(np.uint64)
-            n = (now.column("n_keys")[0].as_py() if now.num_rows else 0) + int(way.sum())
-            if not now.num_rows:
-                made = filter_of(k[way > 0])
-            else:
+            n, data = int(way.sum()), None
+            if now.num_rows:
+                n += now.column("n_keys")[0].as_py()
                 made = CuckooFilter(data=now.column("data")[0].as_py()).delete(k[way < 0])
-                if n * 10 > made.table.size * 9:
-                    made = None
-                else:
-                    try:
-                        made.insert(k[way > 0])
-                    except OverflowError:
-                        made = None
-            if made is None:  # outgrown: the next size, from the exact table
-                made = filter_of(keys)
-            return pa.table({"shard": pa.array([shard], pa.int32()), "n_keys": pa.array([n], pa.int64()), "data": pa.array([made.tobytes()], pa.binary())})
-
-        if self.filters is None:
-            made = moved.groupBy("shard").applyInArrow(lambda key, t: update(key, t, pa.table({"n_keys": [], "data": []}), None), schema)
-        else:
-            # an outgrown shard is rebuilt in a second pass from the exact table
-            full = self.filters.join(moved.groupBy("shard").agg(F.sum("way").alias("more")), "shard", "left").where((F.col("n_keys") + F.coalesce("more", F.lit(0))) * 10 > F.octet_length("data") / 2 * 8).select("shard")
-            rebuilt = hot.join(full, "shard", "left_semi").withColumn("way", F.lit(1)).groupBy("shard").applyInArrow(lambda key, t: update(key, t, pa.table({"n_keys": [], "data": []}), None), schema)
-            rest = moved.join(full, "shard", "left_anti")
-            kept = self.filters.join(full, "shard", "left_anti")
-            made = rest.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(lambda key, c, now: update(key, c, now, None) if c.num_rows else now.select(["shard", "n_keys", "data"]), schema).unionByName(rebuilt)
-        self.filters = self._keep("filters", made)
+                if n * 10 <= made.table.size * 9:
+                    with contextlib.suppress(OverflowError):
+                        data = made.insert(k[way > 0]).tobytes()
+            else:
+                data = filter_of(k[way > 0]).tobytes()
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n_keys": pa.array([n], pa.int64()), "data": pa.array([data], pa.binary())})
+
+        fresh = lambda keys: keys.withColumn("way", F.lit(1)).groupBy("shard").applyInArrow(lambda key, t: update(key, t, pa.table({"n_keys": [], "data": []})), schema)
+        if before is None:
+            self.filters = self._keep("filters", fresh(hot))
+            return
+        old = before.where(F.col("n_docs") >= self.min_docs).select(*KEY)
+        moved = hot.join(old, KEY, "left_anti").withColumn("way", F.lit(1)).unionByName(old.join(hot, KEY, "left_anti").withColumn("way", F.lit(-1)))
+        changed = moved.groupBy("shard").cogroup(self.filters.groupBy("shard"))
+        tried = self._keep("tried", changed.applyInArrow(lambda key, c, now: update(key, c, now) if c.num_rows else now.select(["shard", "n_keys", "data"]), schema))
+        full = tried.where("data is null").select("shard")
+        # from the exact table, at the next size
+        rebuilt = fresh(hot.join(full, "shard", "left_semi"))
+        self.filters = self._keep("filters", tried.where("data is not null").unionByName(rebuilt))
 
     def insert(self, df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> LineStore:
         """Adds documents; ids that are in the store already only add the lines they did not have."""
@@ -234,30 +250,49 @@ class LineStore:
         self._refilter(before)
         return self
 
-    def apply(self, df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """``df`` with ``text`` less its repeated lines, and ``n_lines`` (before) and ``n_dropped``."""
-        size = self.filters.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-        filters = {r["shard"]: bytes(r["data"]) for r in self.filters.collect()} if size <= self.most else None
+    def _lists(self, df: DataFrame, filters: Filters | None, doc_id: str, text: str) -> DataFrame:
+        """(id_, gone_): for each document that loses lines the keys of these lines."""
         hits = self.pairs(df, doc_id, text, filters)
         exact = self.references.where(F.col("n_docs") >= self.min_docs).select(*KEY, "last_doc")
         gone = hits.join(exact, KEY).where(F.col("doc_id") != F.col("last_doc"))
-        lists = gone.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("gone_"))
         self.version += 1
-        lists = self._keep("gone", lists)
-        extra = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-        kept = [f for f in df.schema.fields if f.name not in ("n_lines", "n_dropped")]
-        schema = T.StructType(kept + extra)
+        return self._keep("gone", gone.groupBy(F.col("doc_id").alias("id_")).agg(F.collect_set(F.struct("k1", "k2")).alias("gone_")))
+
+    def apply(self, df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """``df`` with ``text`` less its repeated lines, and ``n_lines`` (before) and ``n_dropped``.
+
+        The filters also tell which documents can lose a line at all.  The others stay where they are; only texts
+        with a line that passes are shuffled, by the same merge join at every size.
+        """
+        size = self.filters.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        filters = Filters(self, {r["shard"]: bytes(r["data"]) for r in self.filters.collect()}) if size <= self.most else None
+        lists = self._lists(df, filters, doc_id, text)
+        kept = [f for f in df.schema.fields if f.name.lower() not in ("n_lines", "n_dropped")]
+        schema = T.StructType(kept + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+        fields = [F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(kept) if f.name != text]
+        rows = df.select(F.struct(*fields).alias("row"), F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("id_"))
         min_chars = self.min_chars
-        rows = df.select(F.struct(*[F.col(f"`{f.name}`") for f in kept if f.name != text]).alias("row"), F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("id_"))
-        joined = rows.join(lists.withColumnRenamed("doc_id", "id_"), "id_", "left").select("row", "text", "gone_")
+
+        def split(passing: bool):
+            """The rows whose documents hold a line that passes the filters, or the others."""
+
+            def run(batches):
+                for whole in batches:
+                    for batch in slices(whole, "text"):
+                        place, _, _, passed = filters.lines(texts_of(batch.column("text")), min_chars)
+                        mark = np.full(batch.num_rows, not passing)
+                        mark[place[passed]] = passing
+                        yield batch.filter(pa.array(mark))
+
+            return rows.mapInArrow(run, rows.schema)
 
         def cut(batches):
             for whole in batches:
                 for batch in slices(whole, "text"):
-                    row = batch.column("row")
-                    fields = dict(zip([row.type.field(i).name for i in range(row.type.num_fields)], row.flatten(), strict=True))
+                    values = iter(batch.column("row").flatten())
+                    lists = batch.column("gone_").to_pylist() if "gone_" in batch.schema.names else [None] * batch.num_rows
                     texts, lines, dropped = [], [], []
-                    for t, gone in zip(batch.column("text").to_pylist(), batch.column("gone_").to_pylist(), strict=True):
+                    for t, gone in zip(batch.column("text").to_pylist(), lists, strict=True):
                         n, k = (t or "").count("\n") + 1, 0
                         if gone:
                             drop = {(g["k1"], g["k2"]) for g in gone}
@@ -267,10 +302,11 @@ class LineStore:
                         texts.append(t)
                         lines.append(n)
                         dropped.append(k)
-                    fields |= {text: pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
-                    yield pa.RecordBatch.from_arrays([fields[f.name] for f in schema.fields], names=[f.name for f in schema.fields])
+                    arrays = [pa.array(texts, pa.string()) if f.name == text else next(values) for f in kept] + [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-        return joined.mapInArrow(cut, schema)
+        merged = (split(True) if filters else rows).join(lists.hint("merge"), "id_", "left").select("row", "text", "gone_").mapInArrow(cut, schema)
+        return merged.unionByName(split(False).select("row", "text").mapInArrow(cut, schema)) if filters else merged
 
 
 def dedup_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> DataFrame:
