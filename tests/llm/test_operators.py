@@ -10,7 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tokenloom.llm import common, decontaminate, html_blocks, line_dedup, ngram_join, packing, quality, sharding, token_binary, token_counts, warc
+from tokenloom.llm import common, decontaminate, html_blocks, line_dedup, ngram_join, packing, quality, sharding, stretches, token_binary, token_counts, warc
 from tokenloom.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -166,6 +166,25 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     assert token_binary.token_files(empty, vocabulary("word_bpe_49k.json"), end_id=1).collect() == []
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_stretches_give_the_library_s_ids(name):
+    import pyarrow as pa
+
+    own, r = stretches.StretchEncoder(vocabulary(name), most=200), random.Random(3)
+    assert own.shape
+    parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "'re", "'", "12", "!", "é", "ß", "日本", "🎉", "́", "\x1c", "\x85", "\u3000", "\u2003", "\xa0", "\u180e", "<|endoftext|>", "<|end", " ing", "\r\n", "$$$", "ΑΣ", " Å", " word", "Word", ",", ".", "a,", "?!", "é."]
+    for _ in range(100):
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(20)] + [None, "", "long" * 5000]
+        r.shuffle(texts)
+        given = pa.array(texts, pa.string()).slice(r.randint(0, 5))
+        want = [e.ids for e in own.lib.encode_batch([t or "" for t in given.to_pylist()], add_special_tokens=False)]
+        ids, at = own.ids(given)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+        assert own.counts(given).tolist() == [len(x) for x in want]
+    own.shape = None
+    assert own.counts(given).tolist() == [len(x) for x in want]
+
+
 # --- 4
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
 <div class="ad">Buy now.</div><article><h1>The &quot;title&quot; &amp; more</h1><p>First   para with <b>bold</b>\n text.<p>Second <!-- no --> one.<script>var x="<p>";</script></article>

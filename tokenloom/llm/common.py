@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +77,18 @@ def texts_of(array) -> list[str]:
     return [x if x is not None else "" for x in array.to_pylist()]
 
 
-def slices(batch, column: str, most_bytes: int = 8 << 20):
+@cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: workers live on, and what their allocators keep adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def slices(batch, column: str, most_bytes: int = 4 << 20):
     """Cuts an Arrow batch into runs of rows whose texts stay near ``most_bytes``; a longer text is a run alone."""
     import pyarrow.compute as pc
 
@@ -87,6 +101,7 @@ def slices(batch, column: str, most_bytes: int = 8 << 20):
         total += int(size)
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back()
 
 
 #: Fixed odd multipliers of the multilinear shingle hash and the finishing constants of a 64-bit mixer.

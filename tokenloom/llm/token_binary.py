@@ -21,8 +21,6 @@ when it holds ``segment_ids`` ids, but a document is never split, however long;
 
 from __future__ import annotations
 
-import os
-import re
 import struct
 import zlib
 
@@ -33,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, work_dir
+from .stretches import encoder
 
 MAGIC = b"TLEF\x01\0\0\0"
 EVERY = 64
@@ -127,82 +126,6 @@ class Segment:
         return self.ids[self.bounds[i] : self.bounds[i + 1]]
 
 
-# --- encoding with the library, a stretch between white space at a time
-_ODD = re.compile("[\x1c-\x1f]")
-
-
-class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library.
-
-    Where the vocabulary's pattern drops white space and its normalizer works inside a stretch without it, a text's ids are
-    those of its stretches, so each distinct stretch is encoded once (two bounded generations of them are remembered).
-    Other vocabularies, and texts with the control characters that count as space in Python only, are encoded whole.
-    """
-
-    def __init__(self, path: str, most: int = 250_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        import json
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
-        self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        kinds = [p.get("type") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.by_stretch = kinds == ["Split", "ByteLevel"] and spec["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed" and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens", []))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.most = most
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)] if texts else []
-
-    def stretches(self, parts: list[str]) -> list[bytes]:
-        """Ids of stretches, many in one call: the library takes them as words and says which word each id is of."""
-        out: list[bytes] = []
-        for i in range(0, len(parts), 1000):
-            some = parts[i : i + 1000]
-            e = self.lib.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
-            ends = (np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(some) + 1)) * self.width).tolist()
-            out += [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_stretch:
-            return self.whole(texts)
-        lists = [None if _ODD.search(t) else t.split() for t in texts]
-        young, old = self.young, self.old
-        found = [None if x is None else [young.get(c) for c in x] for x in lists]
-        new: dict[str, bytes] = {}
-        for chunks, got in zip(lists, found, strict=True):
-            if got is not None and None in got:
-                for c, b in zip(chunks, got, strict=True):
-                    if b is None and c not in new:
-                        new[c] = old.get(c)
-        missing = [c for c, b in new.items() if b is None]
-        for c, b in zip(missing, self.stretches(missing), strict=True):
-            new[c] = b
-        odd = iter(self.whole([t for t, x in zip(texts, lists, strict=True) if x is None]))
-        out = [next(odd) if got is None else b"".join(got if None not in got else [new[c] if b is None else b for c, b in zip(chunks, got, strict=True)]) for chunks, got in zip(lists, found, strict=True)]
-        young.update((c, b) for c, b in new.items() if len(c) < 64)
-        if len(young) > self.most:
-            self.old, self.young = young, {}
-        return out
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
-
-
 def write_token_segments(df: DataFrame, path: str, vocabulary: str, *, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
     """Writes the segments of ``df`` below ``path``, in ascending order of ``doc_id``."""
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -222,9 +145,11 @@ def write_token_segments(df: DataFrame, path: str, vocabulary: str, *, end_id: i
 
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                for d, x in zip(batch.column("doc_id").to_pylist(), own.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                flat, bounds = own.ids(batch.column("text"))
+                bounds = bounds.tolist()
+                for d, a, b in zip(batch.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):
                     docs.append(d)
-                    ids.append(x + end)
+                    ids.append(flat[a:b].tobytes() + end)
                     size += len(ids[-1])
                     if size >= segment_ids * own.width:
                         yield out()
