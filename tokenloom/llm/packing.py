@@ -18,11 +18,12 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, stored, work_dir
-from .token_counts import prefix_token_counts
+from .common import NO_ID, slices, stored, work_dir
+from .stretches import encoder
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 PER_BIN = 256
@@ -79,8 +80,20 @@ def best_fit_bins(df: DataFrame, *, doc_id: str = "doc_id", length: str = "n_tok
     return packed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
+def token_lengths(df: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens): the exact token counts of the whole texts under ``vocabulary``, an end token a document included."""
+
+    def run(batches):
+        own = encoder(vocabulary)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own.counts(batch.column("text")) + 1)], names=["doc_id", "n_tokens"])
+
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def pack_documents(df: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Packs by exact token counts of the whole texts under ``vocabulary``, one end token a document included."""
-    counts = prefix_token_counts(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), vocabulary, table=False)
-    lengths = stored(counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")), work_dir(df.sparkSession) + "/lengths")
+    lengths = stored(token_lengths(df, vocabulary, doc_id=doc_id, text=text), work_dir(df.sparkSession) + "/lengths")
     return best_fit_bins(lengths, **options)
