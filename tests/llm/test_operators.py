@@ -382,8 +382,8 @@ def test_jaccard_classes(spark, docs, empty):
     rows += [(5000 + i, passage + " " + " ".join(word() for _ in range(r.choice((5, 15, 40))))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     number = lambda x: -1 if x is None else x
-    for block in (192, 8):
-        got = sorted((number(x["doc_id"]), x["n_shingles"], number(x["component_id"])) for x in ngram_join.jaccard_classes(df, block=block).collect())
+    for block, rounds in ((192, 4), (8, 4), (8, 0)):
+        got = sorted((number(x["doc_id"]), x["n_shingles"], number(x["component_id"])) for x in ngram_join.jaccard_classes(df, block=block, rounds=rounds).collect())
         assert got == classes(rows)
     keep = ngram_join.one_of_each(df).collect()
     want = {n for n, _, c in classes(rows) if n == c}

@@ -17,11 +17,15 @@ No task could hold one tree of all documents, so the trees are built in blocks:
    just share a passage (s of 0.1) meet in a key once in a thousand, so frequent passages make no large groups.
 3. Each class that shares a key is sent once, to the smallest class it shares one with, in blocks of ``BLOCK`` that all hold
    that class; each block is a tree joined with itself.  Links give components.
-4. A key whose classes are not all in one component then goes through trees again, where only pairs across components are
-   compared: at once if it is small, else each block of those outside its largest component with every block.  After that every
-   key's linked pairs are connected.
+4. A key whose classes are not all in one component goes on.  While there are such keys of more than a block, each class
+   outside its key's largest component meets some of that component in a block, in rounds that end once one connects less than
+   half of those outside.
+5. For what is left all pairs are decided.  Keys that hang together are one group where that makes fewer rows; a group of a
+   block at most is one tree.  Classes of a larger group make blocks by size and component, which meet as summary rows first, and
+   the pairs of blocks that survive are joined as trees, where only pairs across components are compared.  After that every key's
+   linked pairs are connected.
 
-A group of n copies costs O(n): equal sets collapse, near copies are connected by step 3 and skipped in 4.
+A group of n copies costs O(n): equal sets collapse, near copies are connected by steps 3 and 4 and skipped after that.
 
 Edge cases: fewer than 5 words are one shingle of all words; no words (null, empty) give an empty set that
 links with nothing; rows of one doc_id are one node; a null doc_id is one node, below all others; repeated rows are
@@ -30,6 +34,9 @@ answered one by one; texts of any length are processed whole; an empty table giv
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -164,10 +171,118 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after links (a, b) between nodes, which need not have a label yet."""
+    if labels is None:
+        return components(links)
+    for side in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(side), "label"), side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
+    above = components(links).select(F.col("node").alias("label"), F.col("label").alias("up"))
+    moved = labels.join(above, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    return checkpointed(moved.unionByName(above.select(F.col("label").alias("node"), F.col("up").alias("label"))).groupBy("node").agg(F.min("label").alias("label")))
+
+
 # --- the join
-def jaccard_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
+MAP_WORDS = 16
+ROUNDS = 4
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """The bitmap of a set as ``MAP_WORDS`` 64-bit words."""
+    flags = np.zeros(64 * MAP_WORDS, dtype=np.uint8)
+    flags[(shingles & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.int64)
+
+
+def mixed_keys(members: DataFrame, labels: DataFrame, path: str) -> DataFrame:
+    """(key, rep, label): the members of the keys whose classes are not all in one component; keys with equal classes are named once."""
+    now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    now = stored(now, f"{path}/now")
+    mixed = now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.sum(F.xxhash64("rep") / F.lit(2.0**20)).cast("long").alias("f"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.count(F.lit(1)).alias("all")).where("l != m")
+    once = mixed.groupBy("x", "f", "all").agg(F.min("key").alias("key")).select("key")
+    return stored(now.join(once, "key", "left_semi"), f"{path}/mixed")
+
+
+def shares(now: DataFrame, path: str) -> DataFrame:
+    """For each key how many classes it has (``all``), its largest component (``main``) and how many of them that has (``ins``)."""
+    by = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
+    return stored(by.select("key", F.col("main.label").alias("main"), "all", F.col("main.n").alias("ins")), f"{path}/shares")
+
+
+def outsiders_tasks(now: DataFrame, large: DataFrame, block: int, turn: int, path: str) -> DataFrame:
+    """(task, rep, label): each class outside the largest component of a key in ``large`` once, in blocks with as many of that component.
+
+    Of several keys a class goes to the largest.  Blocks take different members of the component in turn, so the rows are
+    twice the outsiders at most.
+    """
+    half = max(1, block // 2)
+    rows = now.join(large, "key")
+    outside = rows.where("label != main").groupBy("rep", "label").agg(F.max(F.struct("all", "key", "ins")).alias("to")).select("rep", "label", F.col("to.key").alias("key"), F.col("to.ins").alias("ins"))
+    outside = stored(outside, f"{path}/outside")
+    parts = stored(outside.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / half).alias("parts")), f"{path}/parts")
+    dealt = lambda n: F.pmod(F.xxhash64("rep", F.lit(turn)), n)
+    guests = outside.join(parts, "key").select("key", "rep", "label", dealt(F.col("parts")).alias("part"))
+    hosts = rows.where("label = main").join(parts, "key").withColumn("n", F.ceil(F.col("ins") / half)).withColumn("first", dealt(F.col("n"))).where("first < parts")
+    hosts = hosts.select("key", "rep", "label", F.explode(F.sequence("first", F.col("parts") - 1, "n")).alias("part"))
+    return guests.unionByName(hosts).select(F.xxhash64("key", "part").alias("task"), "rep", "label")
+
+
+def candidate_groups(now: DataFrame, block: int, path: str) -> DataFrame:
+    """``now`` with the keys that hang together as one, where that makes fewer rows: their pairs are then met once, not once a key."""
+    hubs = now.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("all"))
+    linked = stored(now.join(hubs, "key"), f"{path}/linked")
+    whole = components(linked.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "rep").withColumnRenamed("label", "whole")
+    linked = stored(linked.join(whole, "rep"), f"{path}/whole")
+    rows_of = lambda n: n * F.ceil(n / block)
+    apart = linked.groupBy("whole").agg(F.sum(F.ceil(F.col("all") / block)).alias("apart"))
+    at_once = linked.select("whole", "rep").distinct().groupBy("whole").agg(rows_of(F.count(F.lit(1))).alias("at_once"))
+    choice = apart.join(at_once, "whole").select("whole", (F.col("at_once") <= F.col("apart")).alias("one"))
+    key = F.when(F.col("one"), F.xxhash64("whole")).otherwise(F.col("key")).alias("key")
+    return stored(linked.join(choice, "whole").select(key, "rep", "label").distinct(), f"{path}/groups")
+
+
+def block_tasks(now: DataFrame, measured, num: int, den: int, block: int, path: str) -> DataFrame:
+    """(task, rep, label): every pair of classes of a key that are in different components and may link, in some task.
+
+    A small key is one task.  The classes of a larger one make blocks by size, then component, and a block has one
+    row: the OR of its bitmaps, its sizes and its slack.  Rows of blocks meet first, those outside the largest component with
+    every block of the key, and only pairs of blocks whose largest possible overlap reaches the threshold become tasks.
+    ``measured`` gives the size and bitmap (n, map) of classes.
+    """
+    rows = now.join(shares(now, path), "key")
+    small = rows.where(F.col("all") <= block).select(F.xxhash64("key").alias("task"), "rep", "label")
+    large = stored(rows.where(F.col("all") > block), f"{path}/large")
+    sizes = stored(measured(large.select("rep").distinct()), f"{path}/sizes")
+    # sets that link differ by one size class at most
+    large = large.join(sizes, "rep").select("key", "rep", "label", (F.col("label") != F.col("main")).alias("outside"), "n", "map", F.floor(F.log("n") / float(np.log(den / num))).cast("int").alias("level"))
+    same = ["key", "outside", "level"]
+    of_label = large.groupBy(*same, "label").agg(F.count(F.lit(1)).alias("own"))
+    of_level = of_label.groupBy(*same).agg(F.ceil(F.sum("own") / block).alias("parts"))
+    # a component that fills blocks of its own is dealt to them; smaller ones stay whole
+    dealt = of_label.join(of_level, same).select(*same, "label", F.ceil(F.col("own") / block).alias("split"), F.pmod(F.xxhash64("label"), F.col("parts")).alias("part"))
+    dealt = stored(dealt, f"{path}/dealt")
+    one = F.when(F.col("split") > 1, F.xxhash64("label", F.pmod(F.xxhash64("rep"), F.col("split")))).otherwise(F.col("part"))
+    inside = large.join(dealt, [*same, "label"]).withColumn("block", F.xxhash64("outside", "level", F.col("split") > 1, one))
+    inside = stored(inside.select("key", "rep", "label", "outside", "block", "n", "map"), f"{path}/inside")
+    ones = lambda words: reduce(operator.add, (F.bit_count(w) for w in words))
+    word = lambda i: F.col("map")[i]
+    summary = inside.withColumn("slack", F.col("n") - ones(word(i) for i in range(MAP_WORDS))).groupBy("key", "block").agg(F.first("outside").alias("outside"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("slack").alias("slack"), *[F.bit_or(word(i)).alias(f"w{i}") for i in range(MAP_WORDS)])
+    summary = stored(summary, f"{path}/summary")
+    a, b = summary.where("outside").alias("a"), summary.alias("b")
+    shared = ones(F.col(f"a.w{i}").bitwiseAND(F.col(f"b.w{i}")) for i in range(MAP_WORDS))
+    overlap = F.least("a.most", "b.most", shared + F.least("a.slack", "b.slack"))
+    once = ~F.col("b.outside") | (F.col("a.block") <= F.col("b.block"))
+    fits = (F.col("a.most") * den >= F.col("b.least") * num) & (F.col("b.most") * den >= F.col("a.least") * num)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & once & fits & (overlap * (num + den) >= num * (F.col("a.least") + F.col("b.least"))))
+    pairs = stored(pairs.select(F.col("a.key").alias("key"), F.col("a.block").alias("x"), F.col("b.block").alias("y")), f"{path}/pairs")
+    task = F.xxhash64("key", "x", "y").alias("task")
+    sides = pairs.select("key", F.col("x").alias("block"), task).unionByName(pairs.where("x != y").select("key", F.col("y").alias("block"), task))
+    return small.unionByName(inside.join(sides, ["key", "block"]).select("task", "rep", "label"))
+
+
+def jaccard_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """A row for each row of ``df``: doc_id, n_shingles, class_id (smallest doc_id of the equal sets), component_id."""
-    spark, path = df.sparkSession, work_dir(df.sparkSession)
+    path = work_dir(df.sparkSession)
     rows = df.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def sign(batches):
@@ -188,15 +303,11 @@ def jaccard_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     classes = stored(classes, f"{path}/classes")
     entries = classes.select("rep", F.posexplode("keys").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "rep")
     groups = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1"), f"{path}/groups")
-    members = stored(entries.join(groups, "key").select("key", "rep", "hub", "size"), f"{path}/members")
-
-    # step 3: each class to one hub, in blocks that all hold the hub
-    sent = members.groupBy("rep").agg(F.min("hub").alias("hub")).where("rep != hub")
-    per_hub = stored(sent, f"{path}/sent")
-    sizes = stored(per_hub.groupBy("hub").agg(F.count(F.lit(1)).alias("size")), f"{path}/hubs")
-    blocks = per_hub.join(sizes, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / block)).alias("part"))
-    heads = sizes.select("hub", F.col("hub").alias("rep"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block) - 1)).alias("part"))
-    blocks = blocks.unionByName(heads).select(F.xxhash64("hub", "part").alias("task"), "rep", F.col("rep").alias("label"))
+    members = stored(entries.join(groups, "key").select("key", "rep", "hub"), f"{path}/members")
+    # all that follows is about the texts that share a key
+    involved = members.select("rep").distinct()
+    texts = rows.withColumnRenamed("doc_id", "rep").where("text is not null and text != ''").join(involved.hint("merge"), "rep", "left_semi")
+    texts = stored(texts, f"{path}/texts")
 
     def joined(tasks: DataFrame) -> DataFrame:
         """Links found in each task's tree."""
@@ -207,36 +318,42 @@ def jaccard_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             links = tree_links(sets, labels, num, den)
             return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
-        texts = rows.withColumnRenamed("doc_id", "rep").where("text is not null and text != ''")
-        return tasks.join(texts, "rep").select("task", "rep", "label", "text").distinct().groupBy("task").applyInArrow(run, "a long, b long")
-
-    first = stored(joined(blocks), f"{path}/links1")
-    labels = components(first)
+        return tasks.distinct().join(texts.hint("merge"), "rep").select("task", "rep", "label", "text").distinct().groupBy("task").applyInArrow(run, "a long, b long")
 
-    # step 4: keys that still hold several components
-    now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("label"))
-    now = stored(now, f"{path}/now")
-    mixed = now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.sum(F.xxhash64("rep") / F.lit(2.0**20)).cast("long").alias("f"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.first("size").alias("size")).where("l != m")
-    once = stored(mixed.groupBy("x", "f", "size").agg(F.min("key").alias("key")), f"{path}/mixed")  # equal groups once
-    # outsiders are all but the key's largest component: they meet each other and every insider, insiders do not meet again
-    shares = now.join(once.select("key"), "key", "left_semi").groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    shares = shares.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
-    shares = stored(shares.select("key", F.col("main.label").alias("main"), "all", F.ceil(F.col("main.n") / block).alias("ins"), F.ceil((F.col("all") - F.col("main.n")) / block).alias("outs")), f"{path}/shares")
-    rest = now.join(shares, "key")
-    outside = F.col("label") != F.col("main")
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("rep"), F.when(outside, F.col("outs")).otherwise(F.col("ins"))))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    meet = lambda kind, i, j: F.xxhash64("key", F.lit(kind), i, j)
-    among = F.transform(upto("outs"), lambda j: meet("outs", F.least("part", j), F.greatest("part", j)))
-    across = F.when(outside, F.transform(upto("ins"), lambda j: meet("both", F.col("part"), j))).otherwise(F.transform(upto("outs"), lambda i: meet("both", i, F.col("part"))))
-    tasks = F.when(F.col("all") <= block, F.array(F.xxhash64("key"))).when(outside, F.concat(among, across)).otherwise(across)
-    rest = rest.select(F.explode(tasks).alias("task"), "rep", "label").distinct()
-    second = stored(joined(rest), f"{path}/links2")
-    extra = second.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    extra = extra.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    above = components(extra).select(F.col("node").alias("label"), F.col("label").alias("up"))
-    final = labels.join(above, "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(above.select(F.col("label").alias("node"), F.col("up").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
-    final = stored(final, f"{path}/components")
+    # step 3: each class to one hub, in blocks that all hold the hub
+    sent = stored(members.groupBy("rep").agg(F.min("hub").alias("hub")).where("rep != hub"), f"{path}/sent")
+    hubs = stored(sent.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")), f"{path}/hubs")
+    blocks = sent.join(hubs, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"))
+    heads = hubs.select("hub", F.col("hub").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    blocks = blocks.unionByName(heads).select(F.xxhash64("hub", "part").alias("task"), "rep", F.col("rep").alias("label"))
+    labels = merged(None, stored(joined(blocks), f"{path}/links"))
+
+    def measured(reps: DataFrame) -> DataFrame:
+        """(rep, n, map): the size and bitmap of the classes' sets."""
+
+        def run(batches):
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    sets = [shingle_set(x, words) for x in texts_of(batch.column("text"))]
+                    yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x) for x in sets], pa.list_(pa.int64()))], names=["rep", "n", "map"])
+
+        return texts.join(reps, "rep", "left_semi").mapInArrow(run, "rep long, n long, map array<long>").where("n > 0")
+
+    # step 4: rounds go on while they connect at least half of the classes outside
+    members, before = members.select("key", "rep"), None
+    for turn in range(rounds):
+        now = mixed_keys(members, labels, f"{path}/{turn}")
+        large = shares(now, f"{path}/{turn}").where(F.col("all") > block)
+        left = large.agg(F.sum(F.col("all") - F.col("ins"))).first()[0] or 0
+        if not left or before is not None and 2 * left > before:
+            break
+        labels, before = merged(labels, stored(joined(outsiders_tasks(now, large, block, turn, f"{path}/{turn}")), f"{path}/{turn}/links")), left
+    else:
+        now = mixed_keys(members, labels, f"{path}/{rounds}")
+    # step 5
+    tasks = block_tasks(candidate_groups(now, block, f"{path}/last"), measured, num, den, block, f"{path}/last")
+    labels = merged(labels, stored(joined(tasks), f"{path}/last/links"))
+    final = stored(labels, f"{path}/components")
     out = signed.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
     out = out.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     null = lambda c: F.nullif(c, F.lit(NO_ID))
