@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
-import os
-import tempfile
 import uuid
 from functools import cache
 
@@ -23,18 +22,24 @@ NO_ID = -(1 << 63)
 def work_dir(spark: SparkSession) -> str:
     """A new folder for tables and checkpoints, in the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that setting is empty (as in tests) is a folder of our own made and set.
+    Only where that setting is empty is a folder of our own made and set: below the warehouse, which all executors share.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark.sparkContext, "_tokenloom_dir", None)
         if base is None:
-            base = "file://" + os.path.join(tempfile.gettempdir(), "tokenloom-" + uuid.uuid4().hex)
+            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tokenloom-{uuid.uuid4().hex}"
             spark.sparkContext._tokenloom_dir = base
             spark.sparkContext.setCheckpointDir(base)
+            atexit.register(_forget, spark, base)
     return f"{base.rstrip('/')}/tokenloom-{uuid.uuid4().hex}"
 
 
+def _forget(spark: SparkSession, base: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session leaves its folder
+        remove_dir(spark, base)
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Deletes a work folder through the file system that owns it."""
     jvm = spark.sparkContext._jvm
@@ -64,6 +69,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def without(df: DataFrame, *names: str) -> list[T.StructField]:
+    """The fields of ``df`` but for ``names``, in any case of letters: an input column named like an output gives way."""
+    low = {n.lower() for n in names}
+    return [f for f in df.schema.fields if f.name.lower() not in low]
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named by position, which clash with nothing, and the name that each column now has."""
+    names = [f"column{i}_" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def with_columns_after(df: DataFrame, packed: str, outputs: dict[str, F.Column]) -> DataFrame:
     """Unpacks struct ``packed`` and appends ``outputs``; an input column of an output's name gives way."""
     names = {n.lower() for n in outputs}

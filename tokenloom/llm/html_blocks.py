@@ -5,12 +5,13 @@ hashed tags and class or id words of its open elements, with depth from the leaf
 measures.  A bidirectional LSTM in numpy reads the sequence both ways, so each label draws on the whole page, and blocks
 labelled as article are joined.  The weights beside this file come from ``html_training.py``, which makes its pages up.
 
-What never is text (comments, scripts, styles, the head, templates) is left out while parsing; everything else is the
-labeller's decision.
+What never is text (comments, scripts, styles, titles, templates) is left out while parsing; everything else is the
+labeller's decision, but for pages without any tag, which are text as a whole.  As the HTML standard has it, an unclosed script, style
+or comment reaches to the end of the page, and a head ends where something stands that cannot be in it.
 
-Edge cases: a null or empty page gives an empty text; a page without tags is one block; tags left open or cut off at the end
+Edge cases: a null or empty page gives an empty text; a page without tags is its text; tags left open or cut off at the end
 of the page are taken as they are; pages of any length are processed whole; repeated rows are answered one by one;
-an empty table gives no row; input columns named like an output give way.
+an empty table gives no row; input columns named like an output, in any case of letters, give way.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, without
 
 PATH_DIM, WORD_DIM, EXTRA = 128, 48, 8
 INPUT = PATH_DIM + WORD_DIM + EXTRA
@@ -39,6 +40,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose contents are never shown as text.
 RAW = frozenset("script style noscript template title textarea svg math iframe object".split())
+#: What can stand in a head.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title".split()) | RAW
 #: An open one of these ends where the next of its kind begins.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 
@@ -63,11 +66,18 @@ def blocks_of(page: str) -> list[Block]:
     links, anchor, at = 0, 0, 0
     n = len(page)
 
+    def leave_head():
+        """The head ends, with or without an end tag, where something stands that cannot be in it."""
+        at = next((i for i, (tag, _) in enumerate(stack) if tag == "head"), None)
+        if at is not None:
+            del stack[at:]
+
     def flush():
         nonlocal links
         if inside:
             text = SPACE.sub(" ", html.unescape("".join(inside))).strip(" ")
             if text:
+                leave_head()
                 out.append(Block(tuple(stack), text, min(links, len(text))))
         inside.clear()
         links = 0
@@ -102,6 +112,8 @@ def blocks_of(page: str) -> list[Block]:
             if tag != "svg":
                 flush()
             continue
+        if tag not in IN_HEAD:
+            leave_head()
         if tag in INLINE:
             if tag == "br":
                 inside.append(" ")
@@ -121,7 +133,7 @@ def blocks_of(page: str) -> list[Block]:
             names = tuple(p.lower() for a in NAMED.findall(m[3]) for p in PART.findall("".join(a))) if m[3] else ()
             stack.append((tag, names))
     flush()
-    return [b for b in out if not any(t == "head" for t, _ in b.path)]
+    return out
 
 
 _PATHS: dict[tuple, np.ndarray] = {}
@@ -232,12 +244,14 @@ class BiLSTM:
 def extract(pages: list[str], model: BiLSTM) -> list[str]:
     blocks = [blocks_of(p) for p in pages]
     marks = model.labels([features(b) for b in blocks])
+    # without a tag there is nothing but the text
+    marks = [m if any(b.path for b in bs) or any(t[2] for t in TOKEN.finditer(p)) else np.ones(len(bs), bool) for p, bs, m in zip(pages, blocks, marks, strict=True)]
     return ["\n\n".join(b.text for b, m in zip(bs, ms, strict=True) if m) for bs, ms in zip(blocks, marks, strict=True)]
 
 
 def main_text(df: DataFrame, *, page: str = "html", output: str = "text", weights: str | None = None) -> DataFrame:
     """``df`` without ``page``, with the main text and ``n_chars``, its code points.  ``weights`` must be a path on every executor."""
-    kept = [f for f in df.schema.fields if f.name not in (page, output, "n_chars")]
+    kept = without(df, page, output, "n_chars")
     schema = T.StructType(kept + [T.StructField(output, T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):

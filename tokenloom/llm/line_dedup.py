@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, WS, slices, stored, texts_of, work_dir
+from .common import NO_ID, WS, slices, stored, texts_of, without, work_dir
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BROADCAST_BYTES = 64 << 20
@@ -267,7 +267,7 @@ class LineStore:
         size = self.filters.agg(F.sum(F.octet_length("data"))).first()[0] or 0
         filters = Filters(self, {r["shard"]: bytes(r["data"]) for r in self.filters.collect()}) if size <= self.most else None
         lists = self._lists(df, filters, doc_id, text)
-        kept = [f for f in df.schema.fields if f.name.lower() not in ("n_lines", "n_dropped")]
+        kept = without(df, "n_lines", "n_dropped")
         schema = T.StructType(kept + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
         fields = [F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(kept) if f.name != text]
         rows = df.select(F.struct(*fields).alias("row"), F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("id_"))

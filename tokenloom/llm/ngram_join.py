@@ -29,7 +29,8 @@ A group of n copies costs O(n): equal sets collapse, near copies are connected b
 
 Edge cases: fewer than 5 words are one shingle of all words; no words (null, empty) give an empty set that
 links with nothing; rows of one doc_id are one node; a null doc_id is one node, below all others; repeated rows are
-answered one by one; texts of any length are processed whole; an empty table gives no row.
+answered one by one; texts of any length are processed whole; an empty table gives no row; other columns, whatever their names, are
+ignored by ``jaccard_classes`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, checkpointed, shingle_set, slices, stored, texts_of, work_dir
+from .common import NO_ID, checkpointed, remove_dir, shingle_set, slices, stored, texts_of, work_dir
 
 WORDS, NUM, DEN = 5, 80, 100
 BANDS, ROWS = 48, 3
@@ -238,7 +239,9 @@ def candidate_groups(now: DataFrame, block: int, path: str) -> DataFrame:
     at_once = linked.select("whole", "rep").distinct().groupBy("whole").agg(rows_of(F.count(F.lit(1))).alias("at_once"))
     choice = apart.join(at_once, "whole").select("whole", (F.col("at_once") <= F.col("apart")).alias("one"))
     key = F.when(F.col("one"), F.xxhash64("whole")).otherwise(F.col("key")).alias("key")
-    return stored(linked.join(choice, "whole").select(key, "rep", "label").distinct(), f"{path}/groups")
+    # stored before it is made distinct, so that the join may deal a large component to many tasks
+    chosen = stored(linked.join(choice, "whole").select(key, "rep", "label"), f"{path}/chosen")
+    return stored(chosen.distinct(), f"{path}/groups")
 
 
 def block_tasks(now: DataFrame, measured, num: int, den: int, block: int, path: str) -> DataFrame:
@@ -282,7 +285,8 @@ def block_tasks(now: DataFrame, measured, num: int, den: int, block: int, path:
 
 def jaccard_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """A row for each row of ``df``: doc_id, n_shingles, class_id (smallest doc_id of the equal sets), component_id."""
-    path = work_dir(df.sparkSession)
+    spark, kept = df.sparkSession, work_dir(df.sparkSession)
+    path = f"{kept}/steps"
     rows = df.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def sign(batches):
@@ -298,9 +302,9 @@ def jaccard_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                     keys.append(band_keys(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "keys"])
 
-    signed = stored(rows.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, keys array<long>"), f"{path}/signed")
+    signed = stored(rows.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, keys array<long>"), f"{kept}/signed")
     classes = signed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    classes = stored(classes, f"{path}/classes")
+    classes = stored(classes, f"{kept}/classes")
     entries = classes.select("rep", F.posexplode("keys").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "rep")
     groups = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1"), f"{path}/groups")
     members = stored(entries.join(groups, "key").select("key", "rep", "hub"), f"{path}/members")
@@ -353,7 +357,8 @@ def jaccard_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     # step 5
     tasks = block_tasks(candidate_groups(now, block, f"{path}/last"), measured, num, den, block, f"{path}/last")
     labels = merged(labels, stored(joined(tasks), f"{path}/last/links"))
-    final = stored(labels, f"{path}/components")
+    final = stored(labels, f"{kept}/components")
+    remove_dir(spark, path)
     out = signed.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
     out = out.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     null = lambda c: F.nullif(c, F.lit(NO_ID))

@@ -23,7 +23,7 @@ that much wider without the text being any worse.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null language is one of its own; repeated rows are
 answered (and counted) one by one; texts of any length are processed whole; an empty table gives no row; input columns named
-like an output give way.
+like an output, in any case of letters, give way in ``judged`` and stay as they are in ``quality_filter``.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, texts_of, windows, word_bounds, word_hashes, work_dir
+from .common import numbered, remove_dir, slices, stored, texts_of, windows, without, word_bounds, word_hashes, work_dir
 
 ORDER = 5
 #: N-grams in memory at a time; more of them take more passes.
@@ -49,9 +49,11 @@ PAIRS = 1 << 16
 #: the lower band is the wider one.
 WIDTH, LOW_WIDTH = 1.5, 2.0
 LEAST_IQR = 0.02
+#: Histogram bins for each bit of the score, and for each doubling of the length.
+SCORE_BINS, LENGTH_BINS = 10_000, 64
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 # --- base rules
@@ -129,7 +131,7 @@ def counted(df: DataFrame, lang: str, text: str) -> DataFrame:
             sums.clear()
 
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 by: dict[tuple[str, int], list[bytes]] = {}
                 for name, t in zip(batch.column("lang").to_pylist(), map(cleaned, texts_of(batch.column("text"))), strict=True):
                     by.setdefault((name, half_of(t)), []).append(t)
@@ -233,7 +235,7 @@ class Counts:
     """The n-gram counts of a table, and what a block needs to know of the others."""
 
     def __init__(self, df: DataFrame, *, lang: str = "lang", text: str = "text", max_grams: int = MAX_GRAMS):
-        path = work_dir(df.sparkSession)
+        path = self.path = work_dir(df.sparkSession)
         self.table = stored(counted(df, lang, text), f"{path}/{ORDER}")
         orders = {ORDER: self.table}
         for k in range(ORDER - 1, 1, -1):
@@ -275,14 +277,13 @@ _OUT = [T.StructField(m, T.LongType()) for m in MEASURES] + [T.StructField("base
 
 def measured(df: DataFrame, models: dict[tuple[str, int], bytes], block: tuple[int, int] = (0, PAIRS - 1), *, lang: str = "lang", text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with the base measures, ``base_failed`` and ``log2_perplexity`` (null without a byte of text)."""
-    names = {f.name for f in _OUT} | {"kept"}
-    kept = [f for f in df.schema.fields if f.name not in names and (keep_text or f.name != text)]
+    kept = [f for f in without(df, "kept", *[f.name for f in _OUT]) if keep_text or f.name != text]
     schema = T.StructType(kept + _OUT)
     score_of = _scorer(df.sparkSession, models, block, lang, text)
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text, 4 << 20):
+            for batch in slices(whole, text, 1 << 20):
                 texts = texts_of(batch.column(text))
                 rows = [base_measures(t) for t in texts]
                 failed = [r[0] < 10 or 100 * r[4] > 20 * r[0] for r in rows]
@@ -299,7 +300,7 @@ def added_block(rows: DataFrame, models: dict[tuple[str, int], bytes], block: tu
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text, 4 << 20):
+            for batch in slices(whole, text, 1 << 20):
                 more = np.asarray(batch.column("log2_perplexity").to_numpy(zero_copy_only=False), dtype=np.float64) + score_of(batch, texts_of(batch.column(text)))
                 arrays = [pa.array(more, pa.float64(), from_pandas=True) if f.name == "log2_perplexity" else batch.column(f.name) for f in kept]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept])
@@ -342,18 +343,39 @@ def judged(df: DataFrame, *, lang: str = "lang", text: str = "text", keep_text:
     for i, block in enumerate(counts.blocks):
         step = added_block if i else measured
         rows = stored(step(rows, counts.models(block), block, lang=lang, text=text, keep_text=keep_text or i + 1 < len(counts.blocks)), f"{path}/{i}")
-    key = F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(""))
-    length = F.greatest(F.col("word_chars") + F.col("n_words"), F.lit(1))
-    quartiles = rows.where("not base_failed and log2_perplexity is not null").groupBy(key.alias("lang_")).agg(F.percentile_approx("log2_perplexity", [0.25, 0.75], 10_000).alias("q"), F.percentile_approx(length, 0.5, 10_000).alias("typical_"))
-    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_IQR))
-    bands = stored(quartiles.select("lang_", "typical_", F.col("q")[0].alias("q1_"), F.col("q")[1].alias("q3_"), spread.alias("spread_")), work_dir(df.sparkSession) + "/bands")
-    names = [f.name for f in rows.schema.fields]
-    out = rows.withColumn("lang_", key).join(bands, "lang_", "left")
-    reach = F.col("spread_") * F.sqrt(F.greatest(F.col("typical_") / length, F.lit(1.0)))
-    inside = F.coalesce(F.col("log2_perplexity").between(F.col("q1_") - low_width * reach, F.col("q3_") + width * reach), F.lit(False))
-    return out.select(*[F.col(f"`{n}`") for n in names], (~F.col("base_failed") & inside).alias("kept"))
-
-
-def quality_filter(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` that are kept, with their columns."""
-    return judged(df, **options).where("kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    remove_dir(df.sparkSession, counts.path)
+    names, key = [f.name for f in rows.schema.fields], F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(""))
+    packed = rows.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), key.alias("key"))
+    of = lambda name: F.col("row").getField(name)
+    length, score = F.greatest(of("word_chars") + of("n_words"), F.lit(1)), of("log2_perplexity")
+    good = packed.where(~of("base_failed") & score.isNotNull())
+    bounds = stored(bands(good, score, length), work_dir(df.sparkSession) + "/bands")
+    out = packed.join(bounds, "key", "left")
+    reach = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_IQR)) * F.sqrt(F.greatest(F.col("typical") / length, F.lit(1.0)))
+    inside = F.coalesce(score.between(F.col("q1") - low_width * reach, F.col("q3") + width * reach), F.lit(False))
+    return out.select(*[of(n).alias(n) for n in names], (~of("base_failed") & inside).alias("kept"))
+
+
+def bands(rows: DataFrame, score: Column, length: Column) -> DataFrame:
+    """(key, q1, q3, typical): quartiles of the score and the median length of each key.
+
+    Read off histograms (``SCORE_BINS`` bins a bit, ``LENGTH_BINS`` a doubling), so they do not depend on the order in which
+    partial results meet.
+    """
+
+    def quantiles(value: Column, shares: list[float], names: list[str]) -> DataFrame:
+        bins = rows.groupBy("key", value.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        every = Window.partitionBy("key")  # some thousand bins a key
+        upto = bins.select("key", "bin", F.sum("n").over(every.orderBy("bin")).alias("upto"), F.sum("n").over(every).alias("of"))
+        return upto.groupBy("key").agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("of") * q), F.col("bin"))).alias(n) for q, n in zip(shares, names, strict=True)])
+
+    scores = quantiles(F.round(score * SCORE_BINS), [0.25, 0.75], ["low", "high"]).select("key", (F.col("low") / SCORE_BINS).alias("q1"), (F.col("high") / SCORE_BINS).alias("q3"))
+    lengths = quantiles(F.round(F.log2(length.cast("double")) * LENGTH_BINS), [0.5], ["middle"]).select("key", F.pow(F.lit(2.0), F.col("middle") / LENGTH_BINS).alias("typical"))
+    return scores.join(lengths, "key")
+
+
+def quality_filter(df: DataFrame, *, lang: str = "lang", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that are kept, with their columns, whatever these are called."""
+    rows, name = numbered(df)
+    kept = judged(rows, lang=name[lang], text=name[text], **options).where("kept")
+    return kept.select(*[F.col(name[c]).alias(c) for c in df.columns])
