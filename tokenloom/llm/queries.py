@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_blocks, line_dedup, ngram_join, packing, quality, sharding, token_binary, token_counts, warc
-from .common import documents, table
+from .common import documents, stored, table, work_dir
 
 SHARDS = 16
 TOKEN_LIMIT = 1024
@@ -43,7 +43,8 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.prefix_token_counts(documents(spark, sf_dir, "doc_id", "text"), vocabulary("byte_bpe_50k.json"), table=False)
+    """Writes the prefix table of every text and answers from it."""
+    counts = stored(token_counts.prefix_token_counts(documents(spark, sf_dir, "doc_id", "text"), vocabulary("byte_bpe_50k.json")), work_dir(spark) + "/prefixes")
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 

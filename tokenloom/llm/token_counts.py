@@ -9,26 +9,35 @@ The only prefixes that a plain concatenation would get wrong are those that cut
 pattern then splits otherwise: inside a run of white space, inside a contraction, and inside a special string.
 These are counted as the cut text would be.
 
+Units never span a place where ``stretches`` cuts, so a text's steps are those of its stretches, and each distinct stretch is
+counted once (two bounded generations of short ones are remembered).
+
 What is stored for a text is one signed byte a code point: how far the count moves when the code
 point is added (a merge can lower it).  Their running sum answers any truncation or budget question
 without encoding again: see ``count_at``, ``longest_prefix`` and ``tokens_between``.
 
 Edge cases: null and empty texts have no tokens and an empty table; unpaired surrogates cannot occur in Spark
-strings; texts of any length are processed whole; repeated rows are counted one by one.
+strings; texts of any length are processed whole; repeated rows are counted one by one; an empty table gives no row; input columns
+named like an output, in any case of letters, give way.
 """
 
 from __future__ import annotations
 
 import json
-import re
+import operator
+from array import array
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, without
+from .stretches import shape, stretches
 
 #: The published byte-to-character table of byte-level BPE: printable bytes stand for themselves, the rest follow from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -41,84 +50,83 @@ def byte_alphabet() -> dict[str, int]:
 
 
 SPACE = r"\p{White_Space}"
-#: Stretches between places where every prefix splits alike: white space with what follows it, or a contraction.
+#: Units between places where every prefix splits alike: white space with what follows it, or a contraction.
 UNIT = regex.compile(rf"(?:{SPACE}*(?! ){SPACE})?'(?:s|t|re|ve|m|ll|d)|{SPACE}*(?:\p{{L}}+|\p{{N}}+|[^{SPACE}\p{{L}}\p{{N}}]+)|{SPACE}+")
 LEADING = regex.compile(rf"{SPACE}*")
-#: A space next to other white space: such a text is cut by UNIT, all others at their spaces.
-RUNS = re.compile(r"\s | \Z| \s")
 CONTRACTION = regex.compile(r"'(?:s|t|re|ve|m|ll|d)")
+#: The longest stretch that is remembered.
+LONGEST = 64
 
 
 class PrefixCounter:
     """Counts for one vocabulary file of the tokenizers library (byte-level BPE with the common pattern)."""
 
-    def __init__(self, path: str, most_cached: int = 150_000):
+    def __init__(self, path: str, most: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        if shape(spec) != "spaced":
             raise ValueError("only byte-level BPE with the common pattern and no normalizer is counted")
         table = byte_alphabet()
         as_bytes = lambda s: bytes(table[c] for c in s)
-        self.vocab = {as_bytes(t) for t in spec["model"]["vocab"]}
+        self.tokens = [as_bytes(t) for t in spec["model"]["vocab"]]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.ranks = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(pairs)}
         #: How a token of several bytes is made: (rank, left part, right part).
         self.made: dict[bytes, tuple[int, bytes, bytes]] = {}
         for (a, b), i in self.ranks.items():
             self.made.setdefault(a + b, (i, a, b))
-        self.longest = max(map(len, self.vocab))
-        self.specials = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
-        self.joined: dict[tuple[bytes, bytes], bool] = {}
-        self.most = most_cached
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.units: dict[str, bytes | list[int]] = {}
-        self.old_units: dict[str, bytes | list[int]] = {}
+        #: Finds the tokens that end at each byte, the longest first.
+        self.ending = ahocorasick.Automaton()
+        for i, t in enumerate(self.tokens):
+            self.ending.add_word(t.decode("latin-1"), (i, len(t)))
+        self.ending.make_automaton()
+        specials = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
+        self.joined: dict[int, bool] = {}
+        self.most = most
+        #: Steps of stretches as signed bytes (False where one does not fit), in two bounded generations.
+        self.young: dict[bytes, bytes | bool] = {}
+        self.old: dict[bytes, bytes | bool] = {}
 
     # --- one piece
-    def stays(self, a: bytes, b: bytes) -> bool:
+    def stays(self, a: int, b: int) -> bool:
         """Whether tokens ``a`` and ``b``, side by side, are the encoding of their concatenation.
 
         Undoes the two tokens' merges, latest first.  If at some moment the parts that meet in the middle
         have a merge that comes before the one just undone, merging would have joined them.
         """
-        known = self.joined.get((a, b))
-        if known is None:
-            left, right, before = a, b, 1 << 60
-            while known is None:
-                rank, made_left, made_right = self.ranks.get((left, right)), self.made.get(left), self.made.get(right)
-                if rank is not None and rank < before:
-                    known = False
-                elif made_left is None and made_right is None:
-                    known = True
-                elif made_right is None or made_left is not None and made_left[0] > made_right[0]:
-                    before, left = made_left[0], made_left[2]
-                else:
-                    before, right = made_right[0] + 1, made_right[1]
-            if len(self.joined) > 1_000_000:
-                self.joined.clear()
-            self.joined[a, b] = known
-        return known
+        left, right, before = self.tokens[a], self.tokens[b], 1 << 60
+        while True:
+            rank, made_left, made_right = self.ranks.get((left, right)), self.made.get(left), self.made.get(right)
+            if rank is not None and rank < before:
+                return False
+            if made_left is None and made_right is None:
+                return True
+            if made_right is None or made_left is not None and made_left[0] > made_right[0]:
+                before, left = made_left[0], made_left[2]
+            else:
+                before, right = made_right[0] + 1, made_right[1]
 
     def prefix_counts(self, piece: bytes) -> list[int]:
         """Tokens of every prefix of a piece, by bytes, from the empty one on."""
-        counts, last, vocab, joined = [0], [b""], self.vocab, self.joined
-        for i in range(1, len(piece) + 1):
-            for start in range(max(0, i - self.longest), i):
-                token = piece[start:i]
-                if token in vocab:
-                    if not start:
-                        # a whole token is the encoding of its own bytes
-                        break
-                    known = joined.get((last[start], token))
-                    if known if known is not None else self.stays(last[start], token):
-                        break
-            else:
-                raise ValueError(f"no token ends at byte {i} of {piece!r}")
-            counts.append(counts[start] + 1)
-            last.append(token)
+        counts, last, joined = [0] * (len(piece) + 1), [-1] * (len(piece) + 1), self.joined
+        for end, (token, size) in self.ending.iter(piece.decode("latin-1")):
+            i = end + 1
+            if last[i] >= 0:
+                continue
+            start = i - size
+            if start:  # a whole token is the encoding of its own bytes
+                pair = last[start] << 32 | token
+                known = joined.get(pair)
+                if known is None:
+                    if len(joined) > 1_000_000:
+                        joined.clear()
+                    known = joined[pair] = self.stays(last[start], token)
+                if not known:
+                    continue
+            last[i], counts[i] = token, counts[start] + 1
+        if -1 in last[1:]:
+            raise ValueError(f"no token ends at byte {last.index(-1, 1)} of {piece!r}")
         return counts
 
     # --- pieces of a text
@@ -152,20 +160,6 @@ class PrefixCounter:
             inside[1] = inside[0] + self.at_characters(core[1])[-1]  # 'r is no contraction yet
         return out + [base + n for n in inside[len(piece) - len(core) :]]
 
-    def known_unit(self, unit: str) -> bytes | list[int]:
-        """Steps of a unit as signed bytes, or its counts where a step does not fit."""
-        found = self.units.get(unit)
-        if found is None:
-            found = self.old_units.get(unit)
-            if found is None:
-                counts = self.unit_counts(unit)
-                found = steps(counts) or counts
-            if len(unit) < 64:
-                self.units[unit] = found
-                if len(self.units) > self.most:
-                    self.old_units, self.units = self.units, {}
-        return found
-
     def ordinary(self, text: str) -> list[int]:
         out, base = [], 0
         for unit in UNIT.findall(text):
@@ -194,46 +188,45 @@ class PrefixCounter:
                 at = m.end()
         return out
 
-    # --- steps, remembered by the stretch between two spaces
-    def deltas(self, text: str) -> bytes | None:
-        """One signed byte a code point, or None if a step does not fit (``counts`` then has the counts)."""
-        if RUNS.search(text) or (self.special is not None and any(s in text for s in self.specials)):
-            return steps(self.counts(text))
-        first, *rest = text.split(" ")
-        chunks = [first, *[" " + c for c in rest]]
-        get = self.young.get
-        found = [get(c) for c in chunks]
-        if None in found:
-            young, old = self.young, self.old
-            for i, x in enumerate(found):
+    # --- steps, remembered by stretch
+    def known(self, keys: list[bytes]) -> list[bytes | bool]:
+        """The steps of distinct stretches."""
+        young, old, new = self.young, self.old, {}
+        found = [young.get(k) for k in keys]
+        for i, x in enumerate(found):
+            if x is None:
+                k = keys[i]
+                x = old.get(k)
                 if x is None:
-                    c = chunks[i]
-                    x = young.get(c)
-                    if x is None:
-                        x = old.get(c)
-                        if x is None:
-                            parts = [self.known_unit(u) for u in UNIT.findall(c)]
-                            if any(isinstance(p, list) for p in parts):
-                                return None
-                            x = parts[0] if len(parts) == 1 else b"".join(parts)
-                        if len(c) < 64:
-                            young[c] = x
-                    found[i] = x
-            if len(young) > 2 * self.most:
-                self.old, self.young = young, {}
-        return b"".join(found)
+                    # a run of ASCII letters, with a space before it or not, is one piece
+                    x = steps(self.prefix_counts(k)[1:] if k.removeprefix(b" ").isalpha() else self.counts(k.decode("utf-8")))
+                    x = False if x is None else x
+                found[i] = x
+                if len(k) < LONGEST:
+                    new[k] = x
+        young.update(new)
+        if len(young) > self.most:
+            self.old, self.young = young, {}
+        return found
+
+    def deltas(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One signed byte a code point of all texts, where each text's begin, and whether a step of it does not fit (``counts`` has those)."""
+        pieces, first = stretches(texts)
+        coded = pieces.dictionary_encode()
+        known = self.known(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(x or b"" for x in known), dtype=np.int8)
+        size, wide = np.array([len(x) if x else 0 for x in known], dtype=np.int64), np.array([x is False for x in known], dtype=bool)
+        at, place = np.cumsum(size) - size, np.asarray(coded.indices)
+        n = size[place]
+        ends = np.r_[0, np.cumsum(n)]
+        odd = np.r_[0, np.cumsum(wide[place])]
+        return flat[np.repeat(at[place] - ends[:-1], n) + np.arange(ends[-1])], ends[first], odd[first[1:]] > odd[first[:-1]]
 
 
 def steps(counts: list[int]) -> bytes | None:
     """The differences of ``counts`` as signed bytes, or None if one does not fit."""
-    out, before = bytearray(), 0
-    for n in counts:
-        d = n - before
-        if not -128 <= d <= 127:
-            return None
-        out.append(d & 255)
-        before = n
-    return bytes(out)
+    moves = list(map(operator.sub, counts, [0, *counts]))
+    return array("b", moves).tobytes() if not moves or min(moves) >= -128 and max(moves) <= 127 else None
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -254,36 +247,25 @@ def prefix_token_counts(df: DataFrame, vocabulary: str, *, text: str = "text", t
     ``table=False`` leaves the table null, for callers that only want what follows from it.
     ``vocabulary`` is a path that every executor can open (an installed package's file).
     """
-    names = {f.name for f in OUTPUT}
-    kept = [f for f in df.schema.fields if f.name not in names and f.name != text]
+    kept = [f for f in without(df, *[f.name for f in OUTPUT]) if f.name != text]
     schema = T.StructType(kept + OUTPUT)
 
     def run(batches):
         own = counter(vocabulary)
         for whole in batches:
             for batch in slices(whole, text):
-                n_bytes, n_tokens, width, data = [], [], [], []
-                for t in batch.column(text).to_pylist():
-                    t = t or ""
-                    d = own.deltas(t)
-                    w = 1
-                    if d is None:
-                        w, d = 4, np.diff(np.array(own.counts(t), dtype=np.int64), prepend=0).astype("<i4").tobytes()
-                    n_bytes.append(len(t.encode("utf-8")))
-                    n_tokens.append(int(np.frombuffer(d, dtype=np.int8 if w == 1 else "<i4").sum(dtype=np.int64)))
-                    width.append(w)
-                    data.append(d if table else None)
-                arrays = [batch.column(f.name) for f in kept] + [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(width, pa.int32()), pa.array(data, pa.binary())]
+                flat, bounds, odd = own.deltas(batch.column(text))
+                sums = np.r_[0, np.cumsum(flat, dtype=np.int64)]
+                n_tokens, width = sums[bounds[1:]] - sums[bounds[:-1]], np.ones(batch.num_rows, np.int32)
+                data = [flat[a:b].tobytes() if table else None for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+                for i in np.flatnonzero(odd).tolist():
+                    d = np.diff(np.array(own.counts(batch.column(text)[i].as_py()), dtype=np.int64), prepend=0)
+                    n_tokens[i], width[i], data[i] = d.sum(), 4, d.astype("<i4").tobytes() if table else None
+                n_bytes = pc.fill_null(pc.binary_length(batch.column(text)), 0).cast(pa.int64())
+                arrays = [batch.column(f.name) for f in kept] + [n_bytes, pa.array(n_tokens), pa.array(width), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    order = [F_col(f.name) for f in kept] + [F_col(text)]
-    return df.select(*order).mapInArrow(run, schema)
-
-
-def F_col(name: str):
-    from pyspark.sql import functions as F
-
-    return F.col(f"`{name}`")
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
 # --- questions to a stored table
