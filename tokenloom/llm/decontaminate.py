@@ -9,9 +9,14 @@ diagonals; the bands that reach the bound are aligned, in a band about their dia
 The index of the items is sent to all executors in blocks of at most ``BLOCK_BYTES`` of item text; every block is one pass over
 the documents.  Documents are never shuffled, and a passage that many of them hold costs each of them the same.
 
-Edge cases: null and empty texts hold nothing; an item of fewer than ``LEAST`` folded bytes is not looked for (it would
-be common speech), one shorter than a segment is looked for whole; repeated rows are answered one by one; an empty table or
-benchmark gives no region; texts of any length are processed whole.
+A passage of ``SEGMENT + STRIDE - 1`` folded bytes of an item holds a whole segment wherever it was cut from, so with few enough edits
+it is always found; a shorter one may be.
+
+Edge cases: null and empty texts hold nothing; an item shorter than a segment is looked for whole, and one of fewer than
+``LEAST`` folded bytes (k is 0: all of its q-grams must be shared) without edits and where no letter or digit touches it; one of
+fewer than ``Q`` letters and digits has no q-gram and is not looked for; repeated rows are answered one by one; of several alignments in
+a region the fewest edits count; an empty table or benchmark gives no region; texts of any length are processed whole; other columns, whatever
+their names, are ignored by ``contaminated_regions`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -21,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, stored, texts_of, work_dir
 
-Q, SEGMENT, STRIDE, LEAST = 8, 64, 32, 48
+Q, SEGMENT, STRIDE, LEAST = 8, 64, 16, 48
 #: Edits for each folded byte of a segment.
 EDIT_RATE = 0.09
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 0
@@ -60,14 +65,14 @@ class Index:
         self.items, self.segments, self.edits = [], [], []
         for item, text in items:
             x, _ = folded((text or "").encode("utf-8"))
-            if len(x) < LEAST:
+            if len(x) < Q:
                 continue
             last = max(0, len(x) - SEGMENT)
             for start in [*range(0, last, STRIDE), last]:
                 part = x[start : start + SEGMENT]
                 self.items.append(item)
                 self.segments.append(part)
-                self.edits.append(int(len(part) * EDIT_RATE))
+                self.edits.append(int(len(part) * EDIT_RATE) if len(x) >= LEAST else 0)
         grams = [qgrams(s) for s in self.segments]
         all_ = np.concatenate(grams) if grams else np.empty(0, dtype=np.uint64)
         seg = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -120,10 +125,10 @@ class Index:
             same = np.flatnonzero(self.length[seg] == m)
             for i in range(0, len(same), 4096):
                 at_ = same[i : i + 4096]
-                found += self.aligned(x, edge, text[at_], seg[at_], band[at_], int(m))
+                found += self.aligned(x, at, edge, text[at_], seg[at_], band[at_], int(m))
         return self.merged(found, at, starts, data)
 
-    def aligned(self, x, edge, text, seg, band, m):
+    def aligned(self, x, at, edge, text, seg, band, m):
         """Bands that hold the whole segment of length ``m`` within its edits: (text, item, folded start, folded end, edits)."""
         k = int(self.k[seg[0]])
         low = band * (k + 1) - k  # the first diagonal that the alignment may start at
@@ -143,7 +148,12 @@ class Index:
         edits = dist[np.arange(len(best)), best]
         end = np.minimum(low + m + best, edge[text + 1])
         start = np.maximum(end - m, edge[text])
-        return [(int(t), self.items[s], int(a), int(b), int(e)) for t, s, a, b, e in zip(text, seg, start, end, edits, strict=True) if e <= k]
+        good = edits <= k
+        if m < LEAST:  # a short item is found where nothing follows on it on either side
+            ahead, behind = np.minimum(end, len(x) - 1), np.maximum(start - 1, 0)
+            good &= (start == edge[text]) | (at[behind] < at[np.minimum(start, len(x) - 1)] - 1)
+            good &= (end == edge[text + 1]) | (at[ahead] > at[end - 1] + 1)
+        return [(int(t), self.items[s], int(a), int(b), int(e)) for t, s, a, b, e, g in zip(text, seg, start, end, edits, good, strict=True) if g]
 
     @staticmethod
     def merged(found, at, starts, data):
@@ -197,7 +207,11 @@ def contaminated_regions(df: DataFrame, benchmark: DataFrame, *, doc_id: str = "
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``df`` without the rows that hold a region of a benchmark item."""
+    path, done = work_dir(df.sparkSession), 0
     for items in blocks(benchmark, item_id, item_text, block_bytes):
+        if done:  # a pass and an index at a time
+            df = stored(df, f"{path}/{done}")
+        done += 1
         sent = df.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
