@@ -118,6 +118,62 @@ def test_leaks_with_edits_are_found_and_nothing_else(spark):
     assert decontaminate.contaminated_regions(df.limit(0), bench).collect() == []
 
 
+def plain_regions(items, text):
+    """Whether a text holds a whole segment of an item within its edits, by Sellers' algorithm over all places."""
+    x, at = decontaminate.folded(text.encode())
+    hits = set()
+    for item, body in items:
+        y, _ = decontaminate.folded(body.encode())
+        last = max(0, len(y) - decontaminate.SEGMENT)
+        for start in [*range(0, last, decontaminate.STRIDE), last]:
+            part = y[start : start + decontaminate.SEGMENT]
+            k = int(len(part) * decontaminate.EDIT_RATE)
+            row = np.arange(len(part) + 1)
+            for c in x:
+                step = np.empty_like(row)
+                step[0] = 0
+                step[1:] = np.minimum(row[:-1] + (part != c), row[1:] + 1)
+                row = np.minimum.accumulate(step - np.arange(len(row))) + np.arange(len(row))
+                if row[-1] <= k:
+                    hits.add(item)
+    return hits
+
+
+def test_regions_agree_with_plain_alignment():
+    r = random.Random(18)
+    word = lambda: "".join(r.choice("etaoinshrdlucm") for _ in range(r.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(r.randint(14, 40)))) for i in range(6)]
+    index = decontaminate.Index(items)
+    texts = []
+    for _ in range(60):
+        words = r.choice(items)[1].split()
+        a = r.randint(0, 10)
+        chars = list(" ".join(words[a : a + r.randint(8, 30)]))
+        for _ in range(r.randint(0, 12)):
+            i = r.randrange(len(chars))
+            chars[i] = r.choice(("", "z", chars[i] + "z"))
+        texts.append(" ".join(word() for _ in range(5)) + " " + "".join(chars) + " " + " ".join(word() for _ in range(5)))
+    got = {(t, i) for t, i, *_ in index.regions(texts)}
+    want = {(n, i) for n, t in enumerate(texts) for i in plain_regions(items, t)}
+    assert got == want and 10 < len({t for t, _ in got}) < 60
+
+
+def test_short_items_and_passages(spark):
+    r = random.Random(19)
+    word = lambda: "".join(r.choice("etaoinshrdlucm") for _ in range(r.randint(2, 7)))
+    short = "The quick brown fox jumps over it."
+    long_one = " ".join(word() for _ in range(60))
+    docs = [(1, f"he wrote: the QUICK brown fox, jumps over it! and left"), (2, "athe quick brown fox jumps over it"), (3, "the quick brown fox jumps over itself"), (4, short), (5, "the quick brown dog jumps over it"), (6, None)]
+    words = long_one.split()
+    docs += [(100 + a, f"{word()} {' '.join(words[a : a + 25])} {word()}") for a in range(36)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item long")
+    bench = spark.createDataFrame([(1, short), (2, long_one), (3, "yes"), (4, None)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated_regions(df, bench).collect()}
+    assert got == {(1, 1), (4, 1)} | {(100 + a, 2) for a in range(36)}
+    kept = decontaminate.decontaminate(df, bench, block_bytes=50)
+    assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == [2, 3, 5, 6]
+
+
 def test_band_alignment_agrees_with_edit_distance():
     r = random.Random(2)
     item = "".join(r.choice("abcdefgh") for _ in range(64))
@@ -200,6 +256,22 @@ def test_html_text(spark):
     assert html_blocks.main_text(pages.limit(0)).collect() == []
 
 
+def test_odd_pages_lose_no_text(spark):
+    prose = " ".join("the committee will meet again in spring to settle what was left open, it said." for _ in range(4))
+    rows = [
+        (1, f"<html><head><title>t</title><body><article><h1>Head</h1><p>{prose}</p></article>", f"Head\n\n{prose}"),
+        (2, f"<html><head><meta charset=utf-8><title>t</title><article><p>{prose}</p></article>", prose),
+        (3, f"{prose}\n  and &amp; more", f"{prose} and & more"),
+        (4, f"<article><p>{prose}<script>var x = 1; {prose}", prose),
+        (5, "<head><title>only</title>", ""),
+    ]
+    pages = spark.createDataFrame([(i, h, "x") for i, h, _ in rows] + [(6, f"<article><p>{prose} {'word ' * 60_000}</p></article>", None)], "page_id long, html string, TEXT string")
+    out = html_blocks.main_text(pages)
+    assert out.columns == ["page_id", "text", "n_chars"]
+    got = {x["page_id"]: x["text"] for x in out.collect()}
+    assert {i: got[i] for i, *_ in rows} == {i: want for i, _, want in rows} and len(got[6]) > 300_000
+
+
 def test_labeller_on_held_out_pages():
     from tokenloom.llm import html_training
 
@@ -227,17 +299,19 @@ def test_labeller_gradients():
 
 # --- 5
 def test_prefix_counts_agree_with_the_library():
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = vocabulary("byte_bpe_50k.json")
     lib, own, r = Tokenizer.from_file(path), token_counts.PrefixCounter(path), random.Random(3)
-    parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "'re", "'", "12", "!", "é", "ß", "日本", "🎉", "́", "\x1c", "\x85", "　", "<|endoftext|>", "<|end", " ing", "\r\n", "$$$"]
-    for _ in range(150):
+    parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "'re", "'", "12", "!", "é", "ß", "日本", "🎉", "́", "\x1c", "\x85", "　", "<|endoftext|>", "<|end", " ing", "\r\n", "$$$", ",", "word.", " Word"]
+    for _ in range(300):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 10)))
         counts = own.counts(text)
         assert counts == [len(lib.encode(text[: i + 1], add_special_tokens=False).ids) for i in range(len(text))], text
-        steps = own.deltas(text)
-        assert np.frombuffer(steps, np.int8).cumsum(dtype=np.int64).tolist() == counts
+        flat, at, wide = own.deltas(pa.array(["one two", text, None]))
+        steps = flat[at[1] : at[2]].tobytes()
+        assert not wide.any() and at[2] == at[3] and np.frombuffer(steps, np.int8).cumsum(dtype=np.int64).tolist() == counts
         for budget in (0, 1, 3):
             fits = [i + 1 for i, n in enumerate(counts) if n <= budget]
             assert token_counts.longest_prefix(1, steps, budget) == (fits[-1] if fits else 0)
@@ -281,6 +355,42 @@ def test_packing(spark):
     assert packing.best_fit_bins(df.limit(0)).collect() == []
 
 
+def plain_best_fit(lengths, capacities):
+    """The same choices by a search of all open bins for each item."""
+    bins, cost = [], {c: packing.PER_BIN + c + packing.QUADRATIC * c * c for c in capacities}
+    left, out = sum(lengths), []
+    for n in lengths:
+        fits = [(c - used, i) for i, (used, c) in enumerate(bins) if c - used >= n and c > used]
+        if fits:
+            i = min(fits)[1]
+        else:
+            i = len(bins)
+            bins.append([0, min((c for c in capacities if c >= n), key=lambda c: (cost[c] / max(1, min(c, left)), c))])
+        bins[i][0] += n
+        left -= n
+        out.append(i)
+    return out, [next(c for c in capacities if c >= used) for used, _ in bins]
+
+
+def test_packing_agrees_with_plain_best_fit():
+    r = random.Random(15)
+    for _ in range(40):
+        lengths = sorted((r.choice((0, 1, 7, 100, 511, 512, 513, 2000, 8192, r.randint(1, 8192))) for _ in range(r.randint(0, 120))), reverse=True)
+        assert packing.pack(lengths) == plain_best_fit(lengths, packing.CAPACITIES)
+
+
+def test_token_lengths(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    want = sorted((str(x["doc_id"]), len(lib.encode(x["text"] or "", add_special_tokens=False).ids) + 1) for x in docs.collect())
+    assert sorted((str(x["doc_id"]), x["n_tokens"]) for x in packing.token_lengths(docs, path).collect()) == want
+    packed = packing.pack_documents(docs, path)
+    assert sum(x["length"] for x in packed.collect()) == sum(n for _, n in want)
+    assert packing.pack_documents(empty, path).collect() == []
+
+
 # --- 7
 def dedup(rows, least=5):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower().decode()
@@ -524,6 +634,34 @@ def test_quality(spark, docs, empty):
     assert quality.judged(empty).collect() == [] and quality.quality_filter(docs).columns == docs.columns
 
 
+def test_quality_and_names(spark, docs):
+    odd = docs.selectExpr("*", "1 as N_WORDS", "2 as low_", "3 as key", "4 as lang_", "5 as Kept", "6 as typical")
+    want = {repr((x["doc_id"], x["text"])): (x["n_words"], x["kept"]) for x in quality.judged(docs).collect()}
+    out = quality.judged(odd)
+    assert [c.lower() for c in out.columns].count("n_words") == 1 and {"low_", "key", "lang_", "typical"} <= set(out.columns)
+    assert {repr((x["doc_id"], x["text"])): (x["n_words"], x["kept"]) for x in out.collect()} == want
+    kept = quality.quality_filter(odd).collect()
+    assert {repr((x["doc_id"], x["text"])) for x in kept} == {k for k, (_, good) in want.items() if good}
+    assert all((x["N_WORDS"], x["low_"], x["key"], x["lang_"], x["Kept"], x["typical"]) == (1, 2, 3, 4, 5, 6) for x in kept)
+
+
+def test_bands_agree_with_quartiles(docs):
+    rows = quality.judged(docs).collect()
+    by = defaultdict(list)
+    for x in rows:
+        if not x["base_failed"] and x["log2_perplexity"] is not None:
+            by[x["lang"]].append((x["log2_perplexity"], x["word_chars"] + x["n_words"]))
+    for x in rows:
+        if x["lang"] in by and not x["base_failed"]:
+            scores, lengths = (sorted(v) for v in zip(*by[x["lang"]], strict=True))
+            at = lambda v, q: v[int(np.ceil(len(v) * q)) - 1]
+            q1, q3, typical = at(scores, 0.25), at(scores, 0.75), at(lengths, 0.5)
+            reach = max(q3 - q1, quality.LEAST_IQR) * np.sqrt(max(1, typical / (x["word_chars"] + x["n_words"])))
+            low, high = q1 - quality.LOW_WIDTH * reach, q3 + quality.WIDTH * reach
+            if min(abs(x["log2_perplexity"] - low), abs(x["log2_perplexity"] - high)) > 0.005:
+                assert x["kept"] == (low <= x["log2_perplexity"] <= high)
+
+
 def test_blocks_give_the_whole_model(docs):
     whole = quality.Counts(docs)
     total = whole.table.count()

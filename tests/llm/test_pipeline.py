@@ -37,3 +37,20 @@ def test_columns_and_decisions(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages[-1][1])
+
+
+def test_stages_take_odd_tables(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(60).toPandas()
+    names = "doc_id long, text string, lang string, source string, N_LINES int, n_words string, row int, Kept boolean, label string"
+    rows = [(int(x.doc_id), x.text, x.lang, x.source, 7, "w", 1, False, None) for x in base.itertuples()]
+    rows += [rows[0], (None, rows[1][1] + " more", None, None, None, None, None, None, None), (5000, None, *[None] * 7), (5001, "", *[None] * 7), (5002, "word " * 50_000, *[None] * 7)]
+    for table_rows in (rows, []):
+        docs = spark.createDataFrame(table_rows, names)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert all(x["N_LINES"] in (7, None) and x["n_words"] in ("w", None) for x in got)
+            if stage is not corpus_pipeline.quality_rules:
+                assert len(got) <= len(table_rows)
+        assert (corpus_pipeline.best_fit_packing(spark, docs, SF).count() > 0) == bool(table_rows)

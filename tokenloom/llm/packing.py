@@ -10,7 +10,7 @@ pieces, dealt by a hash of (doc_id, piece), are packed apart, one task each, so
 a few part-filled bins.
 
 Edge cases: a null length counts as 0 and is placed like any item; a null doc_id is an id of its own; repeated rows are items of
-their own; an empty table gives no row.
+their own; an empty table gives no row; columns other than the two used are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,11 +60,12 @@ def best_fit_bins(df: DataFrame, *, doc_id: str = "doc_id", length: str = "n_tok
     """A row for each piece: doc_id, piece, start, length, bin_id, bin_capacity, bin_offset, bin_used."""
     most = max(capacities)
     items = df.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.greatest(F.coalesce(F.col(f"`{length}`").cast("long"), F.lit(0)), F.lit(0)).alias("n"))
+    # ids of a written table's rows, so that a task run again deals alike; they part repeats of one and the same row
+    items = items.withColumn("place", F.monotonically_increasing_id())
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0)).cast("int"))))
-    items = items.select("doc_id", "piece", (F.col("piece").cast("long") * most).alias("start"), F.least(F.col("n") - F.col("piece").cast("long") * most, F.lit(most)).alias("length"))
+    items = items.select("doc_id", "place", "piece", (F.col("piece").cast("long") * most).alias("start"), F.least(F.col("n") - F.col("piece").cast("long") * most, F.lit(most)).alias("length"))
     groups = max(1, -(-df.count() // group_items))
-    # the random part deals out repeats of one and the same row
-    items = items.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "length", F.floor(F.rand(11) * 64)), F.lit(groups)))
+    items = items.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "length", "place"), F.lit(groups)))
 
     def run(key, rows):
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
