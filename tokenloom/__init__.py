@@ -1 +1,7 @@
 """A Spark-first tokenization engine: text columns to token ids and back, as DataFrame operators."""
+
+from .api import HFTokenizer, Llama2c, SentencePiece, Tekken, Tiktoken, Tokenizer, get_tokenizer
+from .errors import Error, TokenizerError
+from .wrappers import HuggingFaceTokenizer, Llama2cTokenizer, TiktokenTokenizer
+
+__all__ = ["Error", "HFTokenizer", "HuggingFaceTokenizer", "Llama2c", "Llama2cTokenizer", "SentencePiece", "Tekken", "Tiktoken", "TiktokenTokenizer", "Tokenizer", "TokenizerError", "get_tokenizer"]

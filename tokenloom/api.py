@@ -7,10 +7,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import Error, TokenizerError
+from .errors import Error, TokenizerError, log
 from .functions.decoders import compile_decoder
 from .functions.normalizers import compile_normalizer
 from .functions.patterns import RANK_PATTERN, RANK_PATTERN_LOOKAHEAD, find_all
@@ -18,7 +19,6 @@ from .functions.pretokenizers import compile_pretokenizer
 from .operators import decoding, merging
 from .operators.encoding import check_loaded, failfast, kernel_function, pieces_of, repeats, text_function
 from .operators.segments import allowed_specials
-from .operators.vocabulary import look_up_ids
 from .sources import artifacts
 
 
@@ -65,11 +65,17 @@ class Tokenizer:
     def encode(self, text: Column | str, *, bos: int = 0, eos: int = 0, allowed_special: str | set[str] = "all") -> Column:
         """``struct<ids, error, dropped>`` of a text column; a null text gives null ids."""
         check_loaded(self.artifact)
-        text = F.col(text) if isinstance(text, str) else text
-        specials = allowed_specials(self.artifact.specials, allowed_special)
-        pieces = pieces_of(text, specials, self.normalize, self.cut)
-        run = kernel_function(self.kernel(), repeats(self.artifact.bos, bos), repeats(self.artifact.eos, eos))
-        return run(pieces)
+        return self.encode_pieces(self.pieces(text, allowed_special=allowed_special), bos=bos, eos=eos)
+
+    def encode_pieces(self, pieces: Column, *, bos: int = 0, eos: int = 0) -> Column:
+        """The same of what ``pieces`` gives."""
+        return kernel_function(self.kernel(), repeats(self.artifact.bos, bos), repeats(self.artifact.eos, eos))(pieces)
+
+    def elements(self) -> DataFrame:
+        """(index, id, token) of the regular tokens, in ascending order of id."""
+        check_loaded(self.artifact)
+        rows = sorted((i, t) for t, i in self.artifact.tokens.items())
+        return self.spark.createDataFrame([(n, i, bytearray(t)) for n, (i, t) in enumerate(rows)], "index long, id long, token binary")
 
     def encode_df(self, df: DataFrame, text: str = "text", *, output: str = "ids", permissive: bool = True, **options) -> DataFrame:
         """``df`` with ``output`` and, in permissive mode, ``error``; otherwise an error ends the query."""
@@ -82,21 +88,41 @@ class Tokenizer:
     def piece_of(self, piece: Column, prev: Column) -> Column:
         return piece
 
-    def decode_df(self, df: DataFrame, doc: str = "doc_id", ids: str = "ids") -> DataFrame:
-        """doc, data, n_tokens, error, text of each document with at least one id."""
+    def piece_rows(self) -> DataFrame:
+        """(id, piece): the bytes of every id, a regular token before a special one."""
+        regular, special = self.artifact.vocabulary(self.spark).select("id", "token"), self.artifact.special_table(self.spark).select("id", F.encode("token", "UTF-8").alias("token"))
+        both = regular.withColumn("n", F.lit(0)).unionByName(special.withColumn("n", F.lit(1)))
+        return both.groupBy("id").agg(F.min(F.struct("n", "token"))["token"].alias("piece"))
+
+    #: The error of an id beyond the vocabulary.
+    beyond = Error.DECODE_FAILURE
+
+    @property
+    def piece_table(self) -> decoding.PieceTable:
+        """What each id stands for, worked out once from the vocabulary."""
         check_loaded(self.artifact)
-        rows = decoding.long_form(df, doc, ids)
-        rows = look_up_ids(rows, self.artifact.vocabulary(self.spark), self.artifact.special_table(self.spark))
-        return decoding.joined_bytes(rows.withColumn("piece", self.piece_of(F.col("piece"), F.col("prev"))))
+        known = getattr(self, "_pieces", None)
+        if known is None or known[0] is not self.artifact:
+            a, piece = self.artifact, F.col("piece")
+            rows = self.piece_rows().select("id", self.piece_of(piece, F.lit(a.bos + 1)).alias("plain"), self.piece_of(piece, F.lit(a.bos)).alias("first")).collect()  # a vocabulary
+            known = self._pieces = (a, decoding.PieceTable({r["id"]: (r["plain"], r["first"]) for r in rows}, a.bos, self.beyond))
+        return known[1]
+
+    def decode_ids(self, ids: Column | str) -> Column:
+        """``struct<data, error>`` of a column of ids: their bytes, or the error's name; null ids give null."""
+        return decoding.decode_function(self.piece_table)(F.col(ids) if isinstance(ids, str) else ids)
+
+    def decode_df(self, df: DataFrame, doc: str = "doc_id", ids: str = "ids") -> DataFrame:
+        """doc, data, n_tokens, error, text of each row, one by one; no ids give no bytes."""
+        rows = df.select(F.col(doc).alias("doc"), F.size(ids).cast("long").alias("n_tokens"), self.decode_ids(ids).alias("d"))
+        return rows.select("doc", "d.data", "n_tokens", "d.error", F.col("d.data").cast("string").alias("text"))
 
     def decode_batch(self, ids: list[int]) -> bytes:
         """The bytes of one sequence."""
-        if not ids:
-            return b""
-        row = self.decode_df(self.spark.createDataFrame([(0, [int(i) for i in ids])], "doc_id long, ids array<bigint>")).first()
+        row = self.piece_table.decoded(pa.array([[int(i) for i in ids]], pa.list_(pa.int64())))[0].as_py()
         if row["error"]:
-            raise TokenizerError(Error.DECODE_FAILURE, str(ids))
-        return bytes(row["data"])
+            raise TokenizerError(Error(row["error"]), str(ids))
+        return row["data"]
 
     def encode_text(self, text: str, *, bos: int = 0, eos: int = 0, **options) -> list[int]:
         """One text, through the same expression."""
@@ -107,14 +133,10 @@ class Tokenizer:
 
     def decode(self, token: int, prev: int | None = None) -> bytes:
         """One token; ``prev`` defaults to the token itself."""
-        before = token if prev is None else prev
-        rows = self.spark.createDataFrame([(0, 1, int(token), int(before))], "doc long, pos int, id long, prev long")
-        check_loaded(self.artifact)
-        rows = look_up_ids(rows, self.artifact.vocabulary(self.spark), self.artifact.special_table(self.spark))
-        row = rows.select(self.piece_of(F.col("piece"), F.col("prev")).alias("piece")).first()
-        if row["piece"] is None:
-            raise TokenizerError(Error.DECODE_FAILURE, str(token))
-        return bytes(row["piece"])
+        piece = self.piece_table.piece(int(token), int(token if prev is None else prev))
+        if piece is None:
+            raise TokenizerError(self.piece_table.error(int(token)), str(token))
+        return piece
 
     def register(self, name: str, *, bos: int = 0, eos: int = 0) -> None:
         """A SQL function ``name(array<struct<piece, special>>)`` for pieces built in SQL; see ``pieces``."""
@@ -172,12 +194,12 @@ class Tekken(Tiktoken):
 class HFTokenizer(Tokenizer):
     """JSON descriptions with normalizer, pre-tokenizer, merges and decoder."""
 
-    def __init__(self, spark: SparkSession, *, legacy_merges: bool = False):
+    def __init__(self, spark: SparkSession, *, legacy_merges: bool = False, config: str | None = None):
         super().__init__(spark)
-        self.legacy_merges = legacy_merges
+        self.legacy_merges, self.config = legacy_merges, config
 
     def load(self, path: str) -> HFTokenizer:
-        return self.use(artifacts.load_hf(path, legacy_merges=self.legacy_merges))
+        return self.use(artifacts.load_hf(path, legacy_merges=self.legacy_merges, config_path=self.config))
 
     def use(self, a: artifacts.Artifact) -> HFTokenizer:
         self._normalize, self._cut = compile_normalizer(a.normalizer), compile_pretokenizer(a.pre_tokenizer)
@@ -222,17 +244,17 @@ class Llama2c(Tokenizer):
             raise TokenizerError(Error.ENCODE_FAILURE, "a negative number of begin or end tokens")
         a = self.artifact
         kernel, begin = merging.ScoreMerge(by_id=a.options["by_id"], tokens=a.tokens, scores=a.scores), repeats(a.bos, bos)
-        run = text_function(lambda t: kernel.text(t, begin), repeats(a.eos, eos))
+        run = text_function(kernel, lambda own, t: own.text(t, begin), repeats(a.eos, eos))
         return run(F.col(text) if isinstance(text, str) else text)
 
     def piece_of(self, piece: Column, prev: Column) -> Column:
         return decoding.scored_piece(piece, prev, self.artifact.bos)
 
-    def decode(self, token: int, prev: int | None = None) -> bytes:
-        check_loaded(self.artifact)
-        if not 0 <= token < self.vocab_size:
-            raise TokenizerError(Error.OUT_OF_RANGE, str(token))
-        return super().decode(token, prev)
+    beyond = Error.OUT_OF_RANGE
+
+    def piece_rows(self) -> DataFrame:
+        """By id, so that equal tokens all decode."""
+        return self.spark.createDataFrame(list(enumerate(map(bytearray, self.artifact.options["by_id"]))), "id long, piece binary")
 
 
 class SentencePiece(Tokenizer):
@@ -251,22 +273,23 @@ class SentencePiece(Tokenizer):
         check_loaded(self.artifact)
         a = self.artifact
         kernel, begin = merging.PieceMerge(pieces=a.pieces, options=a.options), repeats(a.bos, bos)
-        run = text_function(lambda t: begin + kernel.encode(t), repeats(a.eos, eos))
+        run = text_function(kernel, lambda own, t: begin + own.encode(t), repeats(a.eos, eos))
         return run(F.col(text) if isinstance(text, str) else text)
 
-    def decode_df(self, df: DataFrame, doc: str = "doc_id", ids: str = "ids") -> DataFrame:
-        check_loaded(self.artifact)
+    def piece_rows(self) -> DataFrame:
         rows = [(i, t, kind == artifacts.CONTROL) for i, (t, _, kind) in enumerate(self.artifact.pieces)]
-        table = F.broadcast(self.spark.createDataFrame(rows, "id long, text string, control boolean"))  # a vocabulary
-        long = decoding.long_form(df, doc, ids).join(table, "id", "left")
-        return decoding.joined_bytes(long.select("doc", "pos", decoding.model_piece(F.col("text"), F.col("prev"), self.artifact.bos, F.col("control")).alias("piece")))
+        return self.spark.createDataFrame(rows, "id long, text string, control boolean").select("id", F.struct("text", "control").alias("piece"))
+
+    def piece_of(self, piece: Column, prev: Column) -> Column:
+        return decoding.model_piece(piece["text"], prev, self.artifact.bos, piece["control"])
 
 
 def get_tokenizer(spark: SparkSession, path: str, config: str | None = None) -> Tokenizer:
     """By the path: JSON descriptions, else a piece model, else a rank file."""
     if path.endswith(".json"):
-        return HFTokenizer(spark).load(path)
+        return HFTokenizer(spark, config=config).load(path)
     try:
         return SentencePiece(spark).load(path)
-    except TokenizerError:
+    except TokenizerError as e:
+        log.info("%s is no piece model (%s): read as a rank file", path, e)
         return Tiktoken(spark, lookahead=True).load(path)

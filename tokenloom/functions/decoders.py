@@ -33,9 +33,9 @@ def replace(token: Column, pattern: str, content: str) -> Column:
 
 def byte_fallback(token: Column) -> Column:
     """``<0xHH>`` as its byte; a valid beginning of the digits counts, values above 255 do not."""
-    digits = F.regexp_extract(token, r"^<0x([0-9A-Fa-f]{1,15})[^>]*>$", 1)
-    value = F.conv(digits, 16, 10).cast("long")
-    return F.when((digits != "") & (value <= 255), F.unhex(F.lpad(F.hex(value), 2, "0"))).otherwise(F.encode(token, "UTF-8"))
+    digits = F.regexp_extract(token, r"^<0x([0-9A-Fa-f]+)[^>]*>$", 1)
+    value = F.ltrim(digits, F.lit("0"))
+    return F.when((digits != "") & (F.length(value) <= 2), F.unhex(F.lpad(value, 2, "0"))).otherwise(F.encode(token, "UTF-8"))
 
 
 def compile_decoder(spec: dict | None) -> Decoder:

@@ -8,6 +8,7 @@ the first tier, where ``\\s`` is ASCII and lacks the vertical tab; the others ar
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import accumulate
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import Error, TokenizerError
+from ..errors import Error, TokenizerError, log
 
 # Default pre-tokenization patterns of the public vocabularies.
 RANK_PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+"
@@ -40,12 +41,25 @@ def tier(pattern: str) -> int:
     return 2 if SECOND_TIER.search(pattern) else 1
 
 
+_fallback: Callable[[str], str | None] | None = None
+
+
+def register_fallback(hook: Callable[[str], str | None] | None) -> None:
+    """``hook`` gives a pattern of the JVM's dialect for one that is not understood here, or None."""
+    global _fallback
+    _fallback = hook
+
+
 def to_java(pattern: str) -> str:
     """The pattern in the JVM's dialect, with the matches of the engine that its tier names."""
     try:
         if regex.compile(pattern, regex.V0).fullmatch("") is not None:
             raise TokenizerError(Error.REGEX_FAILURE, f"{pattern!r} matches the empty string")
     except regex.error as e:
+        own = _fallback(pattern) if _fallback is not None else None
+        if own is not None:
+            return own
+        log.error("%r: %s", pattern, e)
         raise TokenizerError(Error.REGEX_FAILURE, f"{pattern!r}: {e}") from None
     out, i, in_class, second = [], 0, False, tier(pattern) == 2
     while i < len(pattern):

@@ -1,29 +1,71 @@
-"""Decoding: ids to bytes by joins, pieces joined as bytes in order and cast last.
+"""Decoding within the row: ids are taken from a table of pieces, and a row's pieces stand side by side in Arrow.
 
-``long_form`` explodes documents to (doc, pos, id, prev): the id before is taken within the array, so no window is needed.
+A piece can depend on the token before it only by that being the begin token, so two tables say everything.  Nothing is
+exploded, joined or shuffled, at any size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import Error
+from .encoding import once, shared
 
+RESULT = "struct<data:binary,error:string>"
 
-def long_form(df: DataFrame, doc: str, ids: str) -> DataFrame:
-    """doc, pos, id and prev (0 at the start)."""
-    pairs = F.zip_with(ids, F.concat(F.array(F.lit(0).cast("bigint")), F.col(ids)), lambda i, p: F.struct(i.alias("id"), p.alias("prev")))
-    rows = df.select(F.col(doc).alias("doc"), F.size(ids).alias("n_"), F.posexplode(pairs).alias("pos", "x")).where("pos < n_")
-    return rows.select("doc", "pos", "x.id", "x.prev")
 
+class PieceTable:
+    """Pieces by id, and as they are after the begin token; null where an id has none."""
 
-def joined_bytes(pieces: DataFrame) -> DataFrame:
-    """doc, data (binary), text, error: pieces in order of pos; a document with a piece of null has the error's name."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"])
-    rows = pieces.groupBy("doc").agg(ordered.alias("all_"), F.max(F.col("piece").isNull()).alias("bad_"), F.count(F.lit(1)).alias("n_tokens"))
-    data = F.unhex(F.array_join(F.transform("all_", lambda x: F.hex(x)), ""))
-    return rows.select("doc", F.when(~F.col("bad_"), data).alias("data"), "n_tokens", F.when(F.col("bad_"), Error.DECODE_FAILURE.value).alias("error")).withColumn("text", F.col("data").cast("string"))
+    def __init__(self, pieces: dict[int, tuple[bytes | None, bytes | None]], bos: int, beyond: Error = Error.DECODE_FAILURE):
+        self.size, self.bos, self.beyond = max(pieces, default=-1) + 1, bos, beyond
+        row = lambda k: [pieces.get(i, (None, None))[k] for i in range(self.size)]
+        #: Plain pieces, pieces after begin, and a null for every other id.
+        self.pieces = pa.array([*row(0), *row(1), None], pa.binary())
+
+    def places(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+        known = (ids >= 0) & (ids < self.size)
+        return np.where(known, ids + self.size * (before == self.bos), 2 * self.size)
+
+    def piece(self, token: int, before: int) -> bytes | None:
+        return self.pieces[int(self.places(np.array([token]), np.array([before]))[0])].as_py()
+
+    def error(self, token: int) -> Error:
+        return Error.DECODE_FAILURE if 0 <= token < self.size else self.beyond
+
+    def decoded(self, lists: pa.ListArray) -> pa.StructArray:
+        """The bytes of each list of ids, or the name of its first error; null stays null."""
+        ids = np.asarray(pc.fill_null(lists.flatten(), -1)).astype(np.int64)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+        ends = np.r_[0, np.cumsum(sizes)]
+        before = np.r_[0, ids[:-1]] if len(ids) else ids
+        before[ends[:-1][sizes > 0]] = 0
+        taken = self.pieces.take(pa.array(self.places(ids, before)))
+        bad = np.flatnonzero(np.asarray(taken.is_null()))
+        errors: list[str | None] = [None] * len(lists)
+        for i in bad[::-1].tolist():
+            errors[int(np.searchsorted(ends, i, side="right")) - 1] = self.error(int(ids[i])).value
+        taken = pa.concat_arrays([pc.fill_null(taken, b"")])
+        at = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+        nulls = np.asarray(lists.is_null()) | np.array([e is not None for e in errors], dtype=bool)
+        data = memoryview(taken.buffers()[2]) if len(taken) and taken.buffers()[2] is not None else memoryview(b"")
+        rows = [None if n else bytes(data[a:b]) for n, a, b in zip(nulls.tolist(), at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(rows, pa.binary()), pa.array(errors, pa.string())], names=["data", "error"])
+
+
+def decode_function(table: PieceTable):
+    """An Arrow function from ids to ``struct<data, error>``."""
+    sent = shared(table)
+
+    @F.arrow_udf(RESULT)
+    def decode(ids: pa.Array) -> pa.Array:
+        return sent.value.decoded(ids)
+
+    return once(decode)
 
 
 def scored_piece(piece: Column, prev: Column, bos: int) -> Column:

@@ -7,7 +7,7 @@ one narrow pass however large it is.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 MOST_REMEMBERED = 200_000
 
@@ -35,21 +35,33 @@ class Kernel:
 
 
 def merge_by_rank(parts: list, rank_of) -> list:
-    """Joins the neighbours of least rank, the leftmost of equals, until no pair has a rank."""
-    parts = list(parts)
-    ranks = [rank_of(a, b) for a, b in zip(parts, parts[1:], strict=False)]
-    while ranks:
-        known = [r for r in ranks if r is not None]
-        if not known:
-            break
-        i = ranks.index(min(known))
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del ranks[i]
-        if i < len(ranks):
-            ranks[i] = rank_of(parts[i], parts[i + 1])
-        if i:
-            ranks[i - 1] = rank_of(parts[i - 1], parts[i])
-    return parts
+    """Joins the neighbours of least rank, the leftmost of equals, until no pair has a rank.
+
+    Pairs wait in a heap by (rank, place); a pair whose parts have changed since is passed over.
+    """
+    parts, n = list(parts), len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = []
+    for i in range(n - 1):
+        rank = rank_of(parts[i], parts[i + 1])
+        if rank is not None:
+            heap.append((rank, i, parts[i], parts[i + 1]))
+    heapify(heap)
+    while heap:
+        _, i, left, right = heappop(heap)
+        j = after[i]
+        # a part that is gone is None, and one that has grown differs from what it was
+        if parts[i] != left or j >= n or parts[j] != right:
+            continue
+        parts[i], parts[j], after[i] = left + right, None, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y < n:
+                rank = rank_of(parts[x], parts[y])
+                if rank is not None:
+                    heappush(heap, (rank, x, parts[x], parts[y]))
+    return [p for p in parts if p is not None]
 
 
 @dataclass

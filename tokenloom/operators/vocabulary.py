@@ -51,6 +51,3 @@ def merge_ranks(rules: DataFrame) -> DataFrame:
     """The least rank of each merged text."""
     return rules.groupBy("merged").agg(F.min("rank").alias("rank"))
 
-
-def total_size(vocabulary: DataFrame, specials: DataFrame) -> int:
-    return vocabulary.select("id").unionByName(specials.select("id")).count()

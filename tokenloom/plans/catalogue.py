@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytelevel, decoders, normalizers, pretokenizers
-from ..functions.patterns import CASED_PATTERN, RANK_PATTERN, find_all, match_offsets
+from ..functions.patterns import BYTE_LEVEL_PATTERN, CASED_PATTERN, RANK_PATTERN, find_all, match_offsets
 from ..operators import vocabulary as vocab
 from ..operators.segments import segments, special_ids
 from ..sources import artifacts
+from ..api import HFTokenizer, SentencePiece, Tiktoken
 from . import toy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +106,12 @@ def long_input_parts(spark, sf):
     return rows.select("doc_id", F.size(parts).cast("long").alias("n_parts"), F.md5(F.array_join(parts, "")).alias("digest"))
 
 
+#: A run of n characters of one kind is cut (n - 1) // 12 times in each part.
+LONG_INPUT_PARTS = r"""SELECT doc_id, sum(n)::BIGINT AS n_parts, any_value(md5(text)) AS digest FROM (
+SELECT doc_id, text, CASE WHEN length(text) <= 12 THEN 1 ELSE 1 + list_sum(list_transform(regexp_extract_all(part, '\s+|\S+'), lambda r: (length(r) - 1) // 12)) END AS n FROM (
+SELECT doc_id, text, unnest(list_transform(range(0, greatest(length(text), 1), 2000), lambda i: substr(text, (i + 1)::INT, 2000))) AS part FROM documents)) GROUP BY doc_id"""
+
+
 # --- normalizers
 def normalized(name: str, spec: dict, text=lambda: F.col("text")) -> Query:
     def run(spark, sf):
@@ -120,10 +127,14 @@ def normalized_sql(expression: str) -> str:
 
 
 # --- specials
+def wrapped_turns(spark, sf):
+    user = F.concat(F.lit("[INST]"), "text", F.lit("[/INST]"))
+    return table(spark, sf, "conversations", "conv_id", "turn", F.when(F.col("role") == "user", user).otherwise(F.concat("text", F.lit("</s>"))).alias("t"))
+
+
 def special_segments(spark, sf):
     specials = toy.rank_artifact().specials
-    rows = table(spark, sf, "conversations", "conv_id", "turn", F.when(F.col("role") == "user", F.concat(F.lit("[INST]"), "text", F.lit("[/INST]"))).otherwise(F.concat("text", F.lit("</s>"))).alias("t"))
-    out = rows.select("conv_id", "turn", F.posexplode(segments(F.col("t"), specials)).alias("pos", "segment"))
+    out = wrapped_turns(spark, sf).select("conv_id", "turn", F.posexplode(segments(F.col("t"), specials)).alias("pos", "segment"))
     return out.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "segment", F.coalesce(F.element_at(special_ids(specials), F.col("segment")), F.lit(-1)).cast("long").alias("special_id"))
 
 
@@ -278,11 +289,13 @@ def token_histogram(spark, sf):
     return encoded(spark, sf).select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def encode_sql(last: str) -> str:
+def encode_sql(last: str, source: str = "SELECT conv_id, turn, text AS segment, -1 AS special_id, 0 AS place FROM conversations") -> str:
+    """Ids by rank merges of segments (conv_id, turn, segment, special_id, place) in order of ``place``."""
     a = toy.rank_artifact()
     return f"""
 WITH RECURSIVE m AS (SELECT map(list(tok), list(id)) AS m FROM {values_of(a.tokens)} v(tok, id)),
-p AS (SELECT conv_id, turn, unnest(x) AS piece, unnest(range(len(x))) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(text, {quote(RANK_PATTERN)}) AS x FROM conversations)),
+g AS ({source}),
+p AS (SELECT conv_id, turn, place, special_id, unnest(x) AS piece, unnest(range(len(x))) AS pos FROM (SELECT *, CASE WHEN special_id >= 0 THEN [''] ELSE regexp_extract_all(segment, {quote(RANK_PATTERN)}) END AS x FROM g)),
 s(h, parts, best) AS (
   SELECT h, parts, list_min(list_filter(list_transform(range(1, len(parts)), lambda i: {{'r': m[parts[i] || parts[i + 1]], 'i': i}}), lambda y: y.r IS NOT NULL))
   FROM (SELECT h, list_transform(range(1, length(h) // 2 + 1), lambda i: substr(h, (2 * i - 1)::INT, 2)) AS parts FROM (SELECT DISTINCT hex(encode(piece)) AS h FROM p)), m
@@ -290,10 +303,71 @@ s(h, parts, best) AS (
   SELECT h, parts, list_min(list_filter(list_transform(range(1, len(parts)), lambda i: {{'r': m[parts[i] || parts[i + 1]], 'i': i}}), lambda y: y.r IS NOT NULL))
   FROM (SELECT h, parts[1:best.i - 1] || [parts[best.i] || parts[best.i + 1]] || parts[best.i + 2:] AS parts FROM s WHERE best IS NOT NULL), m),
 e AS (SELECT h, list_transform(parts, lambda q: m[q]) AS ids FROM s, m WHERE best IS NULL),
-d AS (SELECT conv_id, turn, flatten(list(ids ORDER BY pos)) AS ids FROM p JOIN e ON hex(encode(piece)) = h GROUP BY conv_id, turn),
+d AS (SELECT conv_id, turn, flatten(list(CASE WHEN special_id >= 0 THEN [special_id::INT] ELSE ids END ORDER BY place, pos)) AS ids FROM p JOIN e ON hex(encode(piece)) = h GROUP BY conv_id, turn),
 t AS (SELECT conv_id, turn, [{a.bos}] || ids || [{a.eos}, {a.eos}] AS ids FROM d) {last}"""
 
 
+IDS = "SELECT conv_id, turn, len(ids)::BIGINT AS n_ids, array_to_string(ids, ' ') AS ids FROM t"
+
+
+def special_encode(spark, sf):
+    """Turns wrapped in special strings, which become ids of their own."""
+    rows = wrapped_turns(spark, sf)
+    out = toy.rank_tokenizer(spark).encode_df(rows, "t", bos=1, eos=2)
+    return out.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+def token_bytes(spark, sf):
+    """The bytes behind the ids of all turns, by a join."""
+    a = toy.rank_artifact()
+    return vocab.look_up_ids(token_histogram(spark, sf), a.vocabulary(spark), a.special_table(spark)).select("id", "n", F.hex("piece").alias("bytes"))
+
+
+def token_bytes_sql() -> str:
+    a = toy.rank_artifact()
+    every = a.tokens | {s.encode(): i for s, i in a.specials.items()}
+    return encode_sql(f"SELECT id::BIGINT AS id, n, tok AS bytes FROM (SELECT id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM t) GROUP BY id) JOIN {values_of(every)} v(tok, i) ON i = id")
+
+
+def vocabulary_elements(spark, sf):
+    return toy.rank_tokenizer(spark).elements().select("index", "id", F.hex("token").alias("token"))
+
+
+def vocabulary_elements_sql() -> str:
+    return f"SELECT row_number() OVER (ORDER BY id) - 1 AS index, id::BIGINT AS id, tok AS token FROM {values_of(toy.rank_tokens())} v(tok, id)"
+
+
+# --- whole vocabularies, over all documents
+def public_file(name: str) -> str:
+    """Where the installed package of public vocabularies keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def vocabulary_round_trip(name: str, make, text=lambda: F.col("text"), skip: int = 0, **options) -> Query:
+    """Encodes and decodes every document; the digest is that of the decoded text less its first ``skip`` bytes."""
+
+    def run(spark, sf):
+        t = make(spark)
+        ids = t.encode_df(table(spark, sf, "documents", "doc_id", text().alias("text")), **options).select("doc_id", "ids")
+        out = t.decode_df(ids)
+        return out.select(F.col("doc").alias("doc_id"), F.md5(F.expr(f"substring(data, {skip + 1})")).alias("digest"), (F.col("n_tokens") > 0).alias("has_tokens"))
+
+    run.__name__ = name
+    return run
+
+
+#: A piece with a character of id 0 that is no token as a whole is dropped by rule, and ``!`` has id 0 in this vocabulary.
+json_vocabulary = vocabulary_round_trip("json_vocabulary", lambda s: HFTokenizer(s).load(public_file("byte_bpe_50k.json")), lambda: F.replace("text", F.lit("!"), F.lit(".")))
+rank_vocabulary = vocabulary_round_trip("rank_vocabulary", lambda s: Tiktoken(s).load(public_file("byte_bpe_50k.tiktoken")))
+piece_vocabulary = vocabulary_round_trip("piece_vocabulary", lambda s: SentencePiece(s).load(public_file("piece_bpe_32k.model")), skip=1, bos=1)
+
+
+def round_trip_sql(text: str = "text") -> str:
+    return f"SELECT doc_id, md5({text}) AS digest, length(text) > 0 AS has_tokens FROM documents"
+
+
 def decode_round_trip(spark, sf):
     t = toy.rank_tokenizer(spark)
     rows = encoded(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.slice("ids", 2, F.size("ids") - 3).alias("ids"))
@@ -305,6 +379,26 @@ def byte_level_encode(spark, sf):
     return toy.hf_tokenizer(spark).encode_df(rows, "text", bos=1).select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), "dropped_pieces")
 
 
+def byte_level_sql() -> str:
+    """By character merges over the printable alphabet.  White space stands alone in the turns, so the pattern's lookahead decides nothing."""
+    tokens, merges = toy.character_merges()
+    _, ranks = artifacts.resolved_merges(tokens, merges)
+    named = lambda d: f"map([{', '.join(map(quote, d))}], [{', '.join(map(str, d.values()))}])"
+    chars = "[" + ", ".join(f"chr({ord(c)})" for c in bytelevel.ALPHABET) + "]"
+    pattern = BYTE_LEVEL_PATTERN.replace(r"\s+(?!\S)|", "")
+    pairs = "list_min(list_filter(list_transform(range(1, len(parts)), lambda i: {'r': r[parts[i] || parts[i + 1]], 'i': i}), lambda y: y.r IS NOT NULL))"
+    return f"""
+WITH RECURSIVE m AS (SELECT {named(tokens)} AS m, {named(ranks)} AS r, {chars} AS c),
+p AS (SELECT conv_id, turn, unnest(x) AS piece, unnest(range(len(x))) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(text, {quote(pattern)}) AS x FROM conversations)),
+s(h, parts, best) AS (
+  SELECT h, parts, {pairs} FROM (SELECT h, list_transform(range(1, length(h) // 2 + 1), lambda i: c[('0x' || substr(h, (2 * i - 1)::INT, 2))::INT + 1]) AS parts FROM (SELECT DISTINCT hex(encode(piece)) AS h FROM p), m), m
+  UNION ALL
+  SELECT h, parts, {pairs} FROM (SELECT h, parts[1:best.i - 1] || [parts[best.i] || parts[best.i + 1]] || parts[best.i + 2:] AS parts FROM s WHERE best IS NOT NULL), m),
+e AS (SELECT h, CASE WHEN m[array_to_string(parts, '')] IS NOT NULL THEN [m[array_to_string(parts, '')]] ELSE list_transform(parts, lambda q: m[q]) END AS ids FROM s, m WHERE best IS NULL),
+t AS (SELECT conv_id, turn, [0] || flatten(list(ids ORDER BY pos)) AS ids FROM p JOIN e ON hex(encode(piece)) = h GROUP BY conv_id, turn)
+SELECT conv_id, turn, len(ids)::BIGINT AS n_ids, array_to_string(ids, ' ') AS ids, 0 AS dropped_pieces FROM t"""
+
+
 def scored_encode(spark, sf):
     rows = table(spark, sf, "conversations", "conv_id", "turn", "text")
     out = toy.scored_tokenizer(spark).encode_df(rows, "text", bos=1, eos=1)
@@ -331,7 +425,7 @@ PAIRS: dict[str, tuple[Query, str | None]] = {
     "digit_pieces": (digit_pieces, DIGIT_PIECES),
     "piece_offsets": (piece_offsets, PIECE_OFFSETS),
     "character_widths": (character_widths, CHARACTER_WIDTHS),
-    "long_input_parts": (long_input_parts, None),
+    "long_input_parts": (long_input_parts, LONG_INPUT_PARTS),
     "replace_text": (normalized("replace_text", {"type": "Sequence", "normalizers": [{"type": "Replace", "pattern": {"String": " "}, "content": "▁"}, {"type": "Replace", "pattern": {"String": "e"}, "content": "$1"}]}), normalized_sql("replace(replace(text, ' ', '▁'), 'e', '$1')")),
     "replace_regex": (normalized("replace_regex", {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": "_"}), normalized_sql(r"regexp_replace(text, '\s+', '_', 'g')")),
     "nfc": (normalized("nfc", {"type": "NFC"}, lambda: F.replace(F.replace("text", F.lit("é"), F.lit("é")), F.lit("ü"), F.lit("ü"))), normalized_sql("nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)))")),
@@ -347,10 +441,16 @@ PAIRS: dict[str, tuple[Query, str | None]] = {
     "least_merge_ranks": (least_merge_ranks, merges_sql("SELECT merged, min(position)::BIGINT AS rank FROM r WHERE n = 1 GROUP BY merged")),
     "regular_tokens": (regular_tokens, regular_tokens_sql()),
     "special_table": (special_table, SPECIAL_TABLE),
-    "encode_ids": (encode_ids, encode_sql("SELECT conv_id, turn, len(ids)::BIGINT AS n_ids, array_to_string(ids, ' ') AS ids FROM t")),
+    "encode_ids": (encode_ids, encode_sql(IDS)),
+    "special_encode": (special_encode, encode_sql(IDS, f"SELECT conv_id, turn, segment, special_id, pos AS place FROM ({special_segments_sql()})")),
+    "token_bytes": (token_bytes, token_bytes_sql()),
+    "vocabulary_elements": (vocabulary_elements, vocabulary_elements_sql()),
+    "json_vocabulary": (json_vocabulary, round_trip_sql("replace(text, '!', '.')")),
+    "rank_vocabulary": (rank_vocabulary, round_trip_sql()),
+    "piece_vocabulary": (piece_vocabulary, round_trip_sql()),
     "token_histogram": (token_histogram, encode_sql("SELECT id::BIGINT AS id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM t) GROUP BY id")),
     "decode_round_trip": (decode_round_trip, encode_sql("SELECT (c.conv_id * 1000 + c.turn)::BIGINT AS doc_id, (len(ids) - 3)::BIGINT AS n_tokens, md5(text) AS digest FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn")),
-    "byte_level_encode": (byte_level_encode, None),
+    "byte_level_encode": (byte_level_encode, byte_level_sql()),
     "scored_encode": (scored_encode, None),
     "scored_round_trip": (scored_round_trip, "SELECT (conv_id * 1000 + turn)::BIGINT AS doc_id, md5(text) AS digest FROM conversations"),
 }

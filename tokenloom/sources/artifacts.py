@@ -35,7 +35,7 @@ def parsed_rank_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     left, right = F.substring_index(line, " ", 1), F.trim(F.expr(f"substring({column}, instr({column}, ' ') + 1)"))
     token = strict_base64(left)
     number = F.regexp_extract(right, r"^\+?([0-9]+)", 1)
-    rank = F.when(number != "", F.expr("1")).isNotNull() & (F.length(F.ltrim(F.lit("0"), number)) <= 19)
+    rank = (number != "") & (F.length(F.ltrim(number, F.lit("0"))) <= 19)
     value = number.try_cast("decimal(20,0)")
     good = rank & value.isNotNull() & (value <= F.lit("9223372036854775807").cast("decimal(20,0)"))
     error = (
@@ -147,12 +147,12 @@ def guess_begin_and_end(specials: dict[str, int]) -> tuple[int, int]:
     return (bos if bos is not None else eos or 0), (eos if eos is not None else bos or 0)
 
 
-def load_hf(path: str, *, legacy_merges: bool = False) -> Artifact:
-    """A JSON description, or a folder that holds one with its configuration.
+def load_hf(path: str, *, legacy_merges: bool = False, config_path: str | None = None) -> Artifact:
+    """A JSON description, or a folder that holds one with its configuration, which ``config_path`` can also name.
 
     Merges written as one string are skipped unless ``legacy_merges``.
     """
-    config = None
+    config = _json(config_path) if config_path else None
     if os.path.isdir(path):
         if os.path.exists(c := os.path.join(path, "tokenizer_config.json")):
             config = _json(c)

@@ -20,7 +20,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     ids = t.encode_text(" ".join(args[2:]), bos=1)
     print(f"Vocab size: {t.vocab_size}\nBOS: {t.bos_tok}\nEOS: {t.eos_tok}\nIDs: {ids}")
     for before, i in zip([0, *ids], ids, strict=False):
-        print(i, t.decode(i, before) if args[0] != "sentencepiece" else "")
+        print(i, t.decode(i, before))
     return 0
 
 
