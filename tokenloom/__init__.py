@@ -2,6 +2,6 @@
 
 from .api import HFTokenizer, Llama2c, SentencePiece, Tekken, Tiktoken, Tokenizer, get_tokenizer
 from .errors import Error, TokenizerError
-from .wrappers import HuggingFaceTokenizer, Llama2cTokenizer, TiktokenTokenizer
+from .wrappers import JsonWrapper, PieceWrapper, RankWrapper
 
-__all__ = ["Error", "HFTokenizer", "HuggingFaceTokenizer", "Llama2c", "Llama2cTokenizer", "SentencePiece", "Tekken", "Tiktoken", "TiktokenTokenizer", "Tokenizer", "TokenizerError", "get_tokenizer"]
+__all__ = ["Error", "HFTokenizer", "JsonWrapper", "Llama2c", "PieceWrapper", "SentencePiece", "Tekken", "Tiktoken", "RankWrapper", "Tokenizer", "TokenizerError", "get_tokenizer"]

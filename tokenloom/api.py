@@ -1,4 +1,4 @@
-"""Tokenizers: load an artifact, encode and decode columns, register SQL functions.
+"""Load an artifact, encode and decode columns, register SQL functions.
 
     t = get_tokenizer(spark, "tokenizer.json")
     df.select(t.encode("text", bos=1)["ids"])
@@ -15,7 +15,7 @@ from .errors import Error, TokenizerError, log
 from .functions.decoders import compile_decoder
 from .functions.normalizers import compile_normalizer
 from .functions.patterns import RANK_PATTERN, RANK_PATTERN_LOOKAHEAD, find_all
-from .functions.pretokenizers import compile_pretokenizer
+from .functions.splitters import compile_pretokenizer
 from .operators import decoding, merging
 from .operators.encoding import check_loaded, failfast, kernel_function, pieces_of, repeats, text_function
 from .operators.segments import allowed_specials

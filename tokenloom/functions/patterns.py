@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,14 +123,15 @@ def find_all_with_gaps(text: Column, pattern: str) -> Column:
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 def _summed(matches: pa.Array, gaps: pa.Array) -> pa.Array:
     """Offsets from the byte lengths of matches and of the gaps before them."""
-    out = []
-    for m, g in zip(matches.to_pylist(), gaps.to_pylist(), strict=True):
-        if m is None:
-            out.append(None)
-            continue
-        ends = list(accumulate(a + b for a, b in zip(m, g, strict=False)))
-        out.append([{"start": e - a, "end": e} for e, a in zip(ends, m, strict=True)])
-    return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    count = np.asarray(pc.fill_null(pc.list_value_length(matches), 0)).astype(np.int64)
+    gap_count = np.asarray(pc.fill_null(pc.list_value_length(gaps), 0)).astype(np.int64)
+    own, before = np.asarray(matches.flatten()).astype(np.int64), np.asarray(gaps.flatten()).astype(np.int64)
+    bounds, firsts = np.r_[0, np.cumsum(count)], np.cumsum(gap_count) - gap_count
+    at = np.repeat(firsts - bounds[:-1], count) + np.arange(len(own))
+    sums = np.r_[0, np.cumsum(own + before[at])]
+    ends = sums[1:] - np.repeat(sums[bounds[:-1]], count)
+    pairs = pa.StructArray.from_arrays([pa.array(ends - own), pa.array(ends)], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pairs, mask=matches.is_null())
 
 
 def match_offsets(text: Column, pattern: str) -> Column:

@@ -1,4 +1,4 @@
-"""Pre-tokenizers: JSON descriptions compiled to functions from a text column to ``array<string>``.
+"""Splits before merging: JSON descriptions compiled to functions from a text column to ``array<string>``.
 
 All are single expressions that stay in the JVM.  A regular-expression Split returns the matches and drops what lies
 between, whatever its behaviour says; ByteLevel keeps the gaps.  Unknown types, behaviours other than Removed, Isolated and

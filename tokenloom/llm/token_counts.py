@@ -59,7 +59,7 @@ LONGEST = 64
 
 
 class PrefixCounter:
-    """Counts for one vocabulary file of the tokenizers library (byte-level BPE with the common pattern)."""
+    """Counts for one vocabulary file (byte-level BPE with the common pattern)."""
 
     def __init__(self, path: str, most: int = 250_000):
         with open(path, encoding="utf-8") as f:

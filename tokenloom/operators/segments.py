@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.pretokenizers import quoted
+from ..functions.splitters import quoted
 
 
 def special_order(specials: dict[str, int]) -> list[str]:

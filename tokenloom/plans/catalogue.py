@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bytelevel, decoders, normalizers, pretokenizers
+from ..functions import bytelevel, decoders, normalizers, splitters
 from ..functions.patterns import BYTE_LEVEL_PATTERN, CASED_PATTERN, RANK_PATTERN, find_all, match_offsets
 from ..operators import vocabulary as vocab
 from ..operators.segments import segments, special_ids
@@ -72,7 +72,7 @@ def joined_sql(expression: str) -> str:
 
 def digit_pieces(spark, sf):
     rows = table(spark, sf, "events", "event_id", F.concat(F.col("event_type"), F.lit(" "), F.col("event_id"), F.lit(":"), F.coalesce("props", F.lit(""))).alias("t"))
-    each, run = pretokenizers.digits(F.col("t"), individual=True), pretokenizers.digits(F.col("t"))
+    each, run = splitters.digits(F.col("t"), individual=True), splitters.digits(F.col("t"))
     return rows.select("event_id", F.array_join(each, "|").alias("each"), F.array_join(run, "|").alias("runs"))
 
 
@@ -102,7 +102,7 @@ CHARACTER_WIDTHS = "SELECT lang, width, count(*) AS n FROM (SELECT lang, strlen(
 
 def long_input_parts(spark, sf):
     rows = table(spark, sf, "documents", "doc_id", "text")
-    parts = pretokenizers.long_input_parts(F.col("text"), most_chars=2000, most_run=12)
+    parts = splitters.long_input_parts(F.col("text"), most_chars=2000, most_run=12)
     return rows.select("doc_id", F.size(parts).cast("long").alias("n_parts"), F.md5(F.array_join(parts, "")).alias("digest"))
 
 
@@ -419,9 +419,9 @@ PAIRS: dict[str, tuple[Query, str | None]] = {
     "cased_pieces_by_lang": (lambda s, d: pieces_by_lang(s, d, CASED_PATTERN), pieces_by_lang_sql(CASED_PATTERN)),
     "top_pieces": (top_pieces, TOP_PIECES),
     "piece_lengths": (piece_lengths, PIECE_LENGTHS),
-    "split_removed": (joined("split_removed", lambda c: pretokenizers.split_removed(c, " ")), joined_sql("list_filter(string_split(text, ' '), lambda x: x <> '')")),
-    "split_isolated": (joined("split_isolated", lambda c: pretokenizers.split_isolated(c, "th")), joined_sql("list_filter(flatten(list_transform(string_split(text, 'th'), lambda x, i: CASE WHEN i = 1 THEN [x] ELSE ['th', x] END)), lambda x: x <> '')")),
-    "split_merged_with_previous": (joined("split_merged_with_previous", lambda c: pretokenizers.split_merged_with_previous(c, " ")), joined_sql("regexp_extract_all(text, '[^ ]* |[^ ]+')")),
+    "split_removed": (joined("split_removed", lambda c: splitters.split_removed(c, " ")), joined_sql("list_filter(string_split(text, ' '), lambda x: x <> '')")),
+    "split_isolated": (joined("split_isolated", lambda c: splitters.split_isolated(c, "th")), joined_sql("list_filter(flatten(list_transform(string_split(text, 'th'), lambda x, i: CASE WHEN i = 1 THEN [x] ELSE ['th', x] END)), lambda x: x <> '')")),
+    "split_merged_with_previous": (joined("split_merged_with_previous", lambda c: splitters.split_merged_with_previous(c, " ")), joined_sql("regexp_extract_all(text, '[^ ]* |[^ ]+')")),
     "digit_pieces": (digit_pieces, DIGIT_PIECES),
     "piece_offsets": (piece_offsets, PIECE_OFFSETS),
     "character_widths": (character_widths, CHARACTER_WIDTHS),

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from .. import api
 
-KINDS = {"sentencepiece": api.SentencePiece, "tiktoken": api.Tiktoken, "hf_tokenizer": api.HFTokenizer, "hf_tokenizers": api.HFTokenizer, "llama2c": api.Llama2c, "tekken": api.Tekken}
+KINDS = {"sentencepiece": api.SentencePiece, "tiktoken": api.Tiktoken, "hf_tokenizer": api.HFTokenizer, "llama2c": api.Llama2c, "tekken": api.Tekken}
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:

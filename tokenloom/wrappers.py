@@ -1,6 +1,6 @@
-"""Tokenizers with the options of single-language wrappers: boolean begin and end, no specials unless allowed, long texts in parts.
+"""The classes of ``api`` with the options of single-language wrappers: boolean begin and end, no specials unless allowed, long texts in parts.
 
-They are the classes of ``api`` under other defaults; columns in, columns out.
+Columns in, columns out.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import api
 from .errors import log
-from .functions.pretokenizers import MOST_CHARS, MOST_RUN, long_input_parts, quoted
+from .functions.splitters import MOST_CHARS, MOST_RUN, long_input_parts, quoted
 from .operators.segments import allowed_specials
 from .sources import artifacts
 
@@ -31,17 +31,17 @@ class _Wrapper:
         return self.model.decode(token, 0 if token else 1).decode("utf-8")
 
 
-class TiktokenTokenizer(_Wrapper):
+class RankWrapper(_Wrapper):
     """Rank files."""
 
-    _instances: dict[str, TiktokenTokenizer] = {}
+    _instances: dict[str, RankWrapper] = {}
 
     def __init__(self, spark: SparkSession, path: str, **options):
         super().__init__(api.Tiktoken(spark, lookahead=True, **options).load(path))
         self.stop_tokens = [self.eos_id]
 
     @classmethod
-    def get_instance(cls, spark: SparkSession, path: str) -> TiktokenTokenizer:
+    def get_instance(cls, spark: SparkSession, path: str) -> RankWrapper:
         """One a path."""
         if path not in cls._instances:
             cls._instances[path] = cls(spark, path)
@@ -62,7 +62,7 @@ class TiktokenTokenizer(_Wrapper):
         return self.model.encode_pieces(F.when(text.isNotNull(), F.flatten(parts)), bos=bool(bos), eos=bool(eos))
 
 
-class HuggingFaceTokenizer(_Wrapper):
+class JsonWrapper(_Wrapper):
     """JSON descriptions; ``bos`` and ``eos`` are taken and ignored."""
 
     def __init__(self, spark: SparkSession, path: str, config: str | None = None):
@@ -73,7 +73,7 @@ class HuggingFaceTokenizer(_Wrapper):
         return self.model.encode(text)
 
 
-class Llama2cTokenizer(_Wrapper):
+class PieceWrapper(_Wrapper):
     """Piece models."""
 
     def __init__(self, spark: SparkSession, path: str):
