@@ -6,10 +6,12 @@ one narrow pass however large it is.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 
 MOST_REMEMBERED = 200_000
+WORD = re.compile("▁+[^▁]*|[^▁]+")
 
 
 class EncodeFault(Exception):
@@ -200,12 +202,17 @@ class PieceMerge(Kernel):
             return None if i is None else -pieces[i][1]
 
         # words are merged apart: no piece has the space mark but in front
-        words, start = [], 0
-        for i in range(1, len(text)):
-            if text[i] == "▁" and text[i - 1] != "▁":
-                words.append(text[start:i])
-                start = i
-        return [p for w in (*words, text[start:]) for p in merge_by_rank(list(w), rank)]
+        out: list[str] = []
+        for w in WORD.findall(text):
+            found = self.known.get(w)
+            if found is None:
+                found = merge_by_rank(list(w), rank)
+                if len(self.known) > MOST_REMEMBERED:
+                    self.known.clear()
+                if len(w) < 128:
+                    self.known[w] = found
+            out += found
+        return out
 
     def best(self, text: str) -> list[str]:
         score, back = [0.0] + [-1e18] * len(text), [0] * (len(text) + 1)

@@ -24,7 +24,9 @@ def segments(text: Column, specials: dict[str, int]) -> Column:
     pattern = special_pattern(specials)
     if pattern is None:
         return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?:{pattern})|.+?(?=(?:{pattern})|\z)"), F.lit(0))
+    # the first characters decide fast that no special begins at a place
+    first = "".join(sorted({s[0] if s[0].isalnum() else "\\" + s[0] for s in specials}))
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?:{pattern})|.+?(?=(?=[{first}])(?:{pattern})|\z)"), F.lit(0))
 
 
 def special_ids(specials: dict[str, int]) -> Column:
