@@ -350,3 +350,21 @@ def test_wrappers(spark, tmp_path):
     with pytest.raises(TokenizerError) as e:
         api.Tiktoken(spark, specials=["a"], bos_index=0, eos_index=1)
     assert e.value.code is Error.OUT_OF_RANGE
+
+
+def test_pieces_that_the_user_defined():
+    pieces = [("<unk>", 0.0, 2), ("<x>", 0.0, 4), ("<x>y", 0.0, 4), ("▁", -1.0, 1), ("a", -1.0, 1), ("<", -1.0, 1), ("x", -1.0, 1), (">", -1.0, 1), ("y", -1.0, 1), ("aa", -0.5, 1)]
+    for algorithm in (1, 2):
+        kernel = merging.PieceMerge(pieces=pieces, options={"algorithm": algorithm, "add_dummy_prefix": True, "unk": 0})
+        assert kernel.encode("aa<x>a<x>ya") == [3, 9, 1, 4, 2, 4] and kernel.encode("<x a") == [3, 5, 6, 3, 4]
+
+
+def test_models_with_a_character_map_are_refused(tmp_path):
+    piece = b"\x0a\x01a\x15\x00\x00\x80\xbf"
+    data = b"\x0a" + bytes([len(piece)]) + piece
+    (tmp_path / "plain").write_bytes(data)
+    assert artifacts.load_pieces(str(tmp_path / "plain")).pieces == [("a", -1.0, 1)]
+    (tmp_path / "mapped").write_bytes(data + b"\x1a\x04\x12\x02xx")
+    with pytest.raises(TokenizerError) as e:
+        artifacts.load_pieces(str(tmp_path / "mapped"))
+    assert e.value.code is Error.LOAD_FAILURE

@@ -170,6 +170,9 @@ class PieceMerge(Kernel):
     def __post_init__(self):
         self.id_of = {t: i for i, (t, _, kind) in enumerate(self.pieces) if kind in (1, 4)}
         self.bytes_of = {t: i for i, (t, _, kind) in enumerate(self.pieces) if kind == 6}
+        users = sorted((t for t, _, kind in self.pieces if kind == 4), key=len, reverse=True)
+        #: Pieces that the user defined stand for themselves wherever they occur, the longest first.
+        self.own = re.compile(f"({'|'.join(map(re.escape, users))})") if users else None
         self.longest = max(map(len, self.id_of), default=1)
         self.least = min((s for _, s, k in self.pieces if k == 1), default=0.0) - 10
 
@@ -182,7 +185,8 @@ class PieceMerge(Kernel):
         if self.options.get("add_dummy_prefix"):
             text = " " + text
         text = text.replace(" ", "▁")
-        parts = self.scored(text) if self.options.get("algorithm") == 2 else self.best(text)
+        cut = self.scored if self.options.get("algorithm") == 2 else self.best
+        parts = cut(text) if self.own is None else [p for n, x in enumerate(self.own.split(text)) for p in ([x] if n % 2 else cut(x) if x else [])]
         out: list[int] = []
         for p in parts:
             i = self.id_of.get(p)

@@ -328,6 +328,8 @@ def load_pieces(path: str) -> Artifact:
         raise TokenizerError(Error.LOAD_FAILURE, f"{path}: {e}") from None
     if not pieces:
         raise TokenizerError(Error.LOAD_FAILURE, f"{path}: no pieces")
+    if norm.get(2):
+        raise TokenizerError(Error.LOAD_FAILURE, f"{path}: models with a character map are not read")
     tokens: dict[bytes, int] = {}
     for i, (t, _, _) in enumerate(pieces):
         tokens.setdefault(t.encode("utf-8"), i)
