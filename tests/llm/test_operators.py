@@ -760,3 +760,36 @@ def test_warc_round_trip(spark, tmp_path):
                 payloads.setdefault(head.get("x-page-id"), block.split(b"\r\n\r\n", 1)[1])
     assert payloads["3"] == big.encode() and payloads["6"] == b""
     assert warc.warc_archives(pages.limit(0)).collect() == []
+
+
+# --- all
+def test_other_columns_do_not_matter(spark, docs, tmp_path):
+    """Columns named like an output or a step, in other cases of letters, change no result."""
+    path = vocabulary("byte_bpe_50k.json")
+    odd = docs.selectExpr("*", "'x' as N_TOKENS", "1 as prefix_Width", "2 as piece", "3 as place", "4 as ids", "5 as h", "6 as rep", "7 as label", "8 as item", "9 as Shard")
+    rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    a, b = token_counts.prefix_token_counts(odd, path), token_counts.prefix_token_counts(docs, path)
+    assert rows(a.select("doc_id", "n_bytes", "n_tokens", "prefix_deltas")) == rows(b.select("doc_id", "n_bytes", "n_tokens", "prefix_deltas"))
+    assert [c.lower() for c in a.columns].count("n_tokens") == 1 and {"piece", "label"} <= set(a.columns)
+    key = ["doc_id", "n_shingles", "component_id"]
+    assert rows(ngram_join.jaccard_classes(odd).select(*key)) == rows(ngram_join.jaccard_classes(docs).select(*key))
+    key = ["doc_id", "length", "bin_used"]
+    assert len(rows(packing.pack_documents(odd, path).select(*key))) == len(rows(packing.pack_documents(docs, path).select(*key)))
+    for name, given in (("a", odd), ("b", docs)):
+        token_binary.write_token_segments(given, f"file://{tmp_path}/{name}", path, end_id=1)
+    assert rows(token_binary.read_token_segments(spark, f"file://{tmp_path}/a")) == rows(token_binary.read_token_segments(spark, f"file://{tmp_path}/b"))
+    pages = docs.selectExpr("doc_id as page_id", "source as url", "text as html", "'x' as PAYLOAD", "1 as D", "2 as first", "3 as VALUE")
+    assert rows(warc.warc_archives(pages)) == rows(warc.warc_archives(pages.select("page_id", "url", "html")))
+    assert sharding.stratified_shards(odd, 4).columns.count("shard") == 1
+
+
+def test_very_long_texts(spark):
+    r = random.Random(5)
+    long_text = " ".join("".join(r.choice("etaoin") for _ in range(r.randint(1, 9))) for _ in range(200_000)) + "x" * 100_000
+    df = spark.createDataFrame([(1, long_text, "en"), (2, long_text, "en"), (3, "\n" * 50_000, "en")], "doc_id long, text string, lang string")
+    path = vocabulary("byte_bpe_50k.json")
+    counts = {x["doc_id"]: x["n_tokens"] for x in token_counts.prefix_token_counts(df, path).collect()}
+    assert counts == {x["doc_id"]: x["n_tokens"] - 1 for x in packing.token_lengths(df, path).collect()} and counts[1] == counts[2] > 300_000
+    judged = {x["doc_id"]: x for x in quality.judged(df).collect()}
+    assert judged[1]["n_words"] == 200_000 and judged[3]["base_failed"]
+    assert {x["component_id"] for x in ngram_join.jaccard_classes(df).collect() if x["doc_id"] < 3} == {1}

@@ -9,7 +9,8 @@ byte of the record), gzip files of whole records.  Reading streams through each
 
 Edge cases: a null or empty payload is a response of 0 bytes; a null id is below all others (its record has no page id
 header and reads back as null); rows that repeat an id and a payload are all responses if that id is the largest; a null
-or odd URL is percent-encoded as needed; payloads of any length are kept whole; an empty table gives no record.
+or odd URL is percent-encoded as needed; payloads of any length are kept whole; other columns, whatever their names, are ignored; an empty
+table gives no record.
 """
 
 from __future__ import annotations
@@ -40,7 +41,10 @@ def resolved(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pa
     first = long_ones.groupBy("payload_digest").agg(F.max(own).alias("first"), F.min(own).alias("least"))
     # a written table, so that the join may deal a hot digest's pages to many tasks
     first = stored(first.where("first.id > least.id").select(F.col("payload_digest").alias("d"), "first"), work_dir(pages.sparkSession) + "/responses")
-    joined = rows.join(first, (rows.payload_digest == first.d) & (rows.payload_bytes >= least_bytes), "left")
+    # short payloads meet nothing: dealt by id, so that equal ones (empty pages) do not meet in one task
+    alone = F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    rows = rows.withColumn("d", F.when(F.col("payload_bytes") >= least_bytes, F.col("payload_digest")).otherwise(alone))
+    joined = rows.join(first, "d", "left")
     revisit = F.col("first").isNotNull() & (F.coalesce("page_id", F.lit(NO_ID)) != F.col("first.id"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first.id")).alias("refers_to"), F.when(revisit, F.col("first.url")).alias("refers_to_uri"))
 
