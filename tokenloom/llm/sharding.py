@@ -23,6 +23,8 @@ from .common import stored, with_columns_after, work_dir
 
 #: Rows that one ranking bucket holds on average.
 BUCKET_ROWS = 20_000
+#: Bound on the buckets, and so on what the driver gathers and sends of them (16 bytes each); with more rows buckets hold more.
+MOST_BUCKETS = 100_000
 #: The hash is the first 15 hexadecimal digits of an MD5, below 2^60.
 HASH_BITS = 60
 
@@ -43,7 +45,7 @@ def stratified_shards(df: DataFrame, n_shards: int, *, key: str = "doc_id", stra
     ).withColumn("tie", F.xxhash64(F.to_json("row")))
     rows = stored(rows, f"{path}/rows")
     total = rows.count()
-    buckets = max(1, -(-total // bucket_rows))
+    buckets = min(MOST_BUCKETS, max(1, -(-total // bucket_rows)))
     # rank within the stratum
     first = rows.withColumn("b", F.floor(F.col("h") / F.lit(float(1 << HASH_BITS)) * F.lit(buckets)).cast("long"))
     counts = first.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"))

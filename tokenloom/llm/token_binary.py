@@ -130,8 +130,8 @@ def write_token_segments(df: DataFrame, path: str, vocabulary: str, *, end_id: i
     """Writes the segments of ``df`` below ``path``, in ascending order of ``doc_id``."""
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     parts = max(1, rows.rdd.getNumPartitions())
-    # the random part only deals out repeats of one and the same row
-    ordered = rows.withColumns({"h": F.xxhash64("text"), "r": F.rand(5)}).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h", "r").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
+    # the row's place only deals out repeats of one and the same row
+    ordered = rows.withColumns({"h": F.xxhash64("text"), "r": F.xxhash64(F.monotonically_increasing_id())}).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h", "r").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
 
     def run(batches):
         own = encoder(vocabulary)
@@ -190,7 +190,7 @@ def read_token_segments(spark: SparkSession, path: str, *, with_ids: bool = Fals
                     arrays.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*SEGMENT_COLUMNS.replace(" long", "").split(", "), "ids"][: len(arrays)])
 
-    based = files.join(F.broadcast(spark.createDataFrame(starts, "segment long, base long")), "segment")  # 16 bytes a segment
+    based = files.join(spark.createDataFrame(starts, "segment long, base long"), "segment")  # 16 bytes a segment; sent only while small
     return based.select("content", "base").mapInArrow(run, schema)
 
 
