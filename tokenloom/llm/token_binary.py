@@ -36,6 +36,8 @@ from .stretches import encoder
 MAGIC = b"TLEF\x01\0\0\0"
 EVERY = 64
 SEGMENT_IDS = 4_000_000
+#: Up to so many segments (16 bytes each) the starts go to all executors; beyond, the files are shuffled to them.
+MOST_SENT = 1_000_000
 
 
 # --- Elias-Fano
@@ -190,7 +192,8 @@ def read_token_segments(spark: SparkSession, path: str, *, with_ids: bool = Fals
                     arrays.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*SEGMENT_COLUMNS.replace(" long", "").split(", "), "ids"][: len(arrays)])
 
-    based = files.join(spark.createDataFrame(starts, "segment long, base long"), "segment")  # 16 bytes a segment; sent only while small
+    bases = spark.createDataFrame(starts, "segment long, base long")
+    based = files.join(F.broadcast(bases) if len(starts) <= MOST_SENT else bases, "segment")
     return based.select("content", "base").mapInArrow(run, schema)
 
 
