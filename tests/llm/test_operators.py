@@ -501,6 +501,54 @@ def test_jaccard_classes(spark, docs, empty):
     assert ngram_join.jaccard_classes(empty).collect() == []
 
 
+def test_copies_too_far_apart_to_link_make_few_rows(spark, monkeypatch):
+    """Changed copies of one text share most keys; those that cannot link do not meet block by block."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("etaoinshrdlucm") for _ in range(6))
+    base = [word() for _ in range(100)]
+
+    def copy(changes):
+        own = list(base)
+        for at in r.sample(range(100), changes):
+            own[at] = word()
+        return " ".join(own)
+
+    rows = [(i, copy(r.choice((4, 5)))) for i in range(300)]  # 0.4 to 0.7 alike
+    rows += [(1000 + i, rows[i][1] + " " + word()) for i in range(5)] + [(2000, " ".join(base)), (2001, copy(1)), (2002, None), (2002, " \t "), (2001, rows[7][1])]
+    made, block_tasks = [], ngram_join.block_tasks
+
+    def counted(*a, **k):
+        made.append(block_tasks(*a, **k))
+        return made[-1]
+
+    monkeypatch.setattr(ngram_join, "block_tasks", counted)
+    monkeypatch.setattr(ngram_join, "remove_dir", lambda *a: None)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.jaccard_classes(df, block=16).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == classes(rows)
+    assert made[0].count() <= 8 * len(rows)
+
+
+def test_counts_of_shingles_agree_with_plain_counts(spark, tmp_path):
+    r = random.Random(18)
+    word = lambda: r.choice("abcdef")
+    texts = [" ".join(word() for _ in range(r.randint(1, 400))) for _ in range(40)] + [" \n"]
+    rows = [(i, i // 3, x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:5], "item long, label long, text string").repartition(5)
+    got = {x["item"]: x for x in ngram_join.shingle_counts(df, 5, 4, f"file://{tmp_path}/steps").collect()}
+    holders = defaultdict(set)
+    for i, label, x in rows:
+        for s in shingles(x):
+            holders[s].add((i, label))
+    for i, _, x in rows[:-1]:
+        found = [holders[s] for s in shingles(x)]
+        shared = [len(h) for h in found if len({label for _, label in h}) > 1]
+        row = got.pop(i)
+        assert (row["n"], row["own"], row["common"]) == (len(found), len(found) - len(shared), sum(n > 4 for n in shared))
+        assert sorted(y["times"] for y in row["rare"]) == sorted(n for n in shared if n <= 4)
+    assert not got
+
+
 def test_one_of_each_tells_rows_of_one_id_apart(spark):
     r = random.Random(21)
     text = lambda: " ".join("".join(r.choice("etaoinshrdlucm") for _ in range(5)) for _ in range(40))

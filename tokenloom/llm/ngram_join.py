@@ -17,15 +17,20 @@ No task could hold one tree of all documents, so the trees are built in blocks:
    just share a passage (s of 0.1) meet in a key once in a thousand, so frequent passages make no large groups.
 3. Each class that shares a key is sent once, to the smallest class it shares one with, in blocks of ``BLOCK`` that all hold
    that class; each block is a tree joined with itself.  Links give components.
-4. A key whose classes are not all in one component goes on.  While there are such keys of more than a block, each class
-   outside its key's largest component meets some of that component in a block, in rounds that end once one connects less than
-   half of those outside.
-5. For what is left all pairs are decided.  Keys that hang together are one group where that makes fewer rows; a group of a
+4. A key whose classes are not all in one component goes on; one of more than a block only with classes that may still link.
+   Of the classes of such keys all shingles are counted.  A shingle of at most a block of them is rare, any other is common.  Two linked classes of different
+   components that share a rare shingle share one among the rarest shingles of both (a prefix of n - 0.8 n + 1), which is a key of
+   its own.  Two that share none overlap in common shingles only, so those are bounded: a class leaves a key of min-hashes
+   where its common shingles and those of every class of another component are too few for their sizes.
+5. While there are keys of more than a block, each class outside its key's largest component meets some of that component in a
+   block, in rounds that end once one connects less than half of those outside.
+6. For what is left all pairs are decided.  Keys that hang together are one group where that makes fewer rows; a group of a
    block at most is one tree.  Classes of a larger group make blocks by size and component, which meet as summary rows first, and
    the pairs of blocks that survive are joined as trees, where only pairs across components are compared.  After that every key's
    linked pairs are connected.
 
-A group of n copies costs O(n): equal sets collapse, near copies are connected by steps 3 and 4 and skipped after that.
+A group of n copies costs O(n): equal sets collapse, near copies are connected by steps 3 and 5 and skipped after that, and copies
+changed too much to link leave in step 4.
 
 Edge cases: fewer than 5 words are one shingle of all words; no words (null, empty) give an empty set that
 links with nothing; rows of one doc_id are one node; a null doc_id is one node, below all others; repeated rows are
@@ -204,6 +209,79 @@ def mixed_keys(members: DataFrame, labels: DataFrame, path: str) -> DataFrame:
     return stored(now.join(once, "key", "left_semi"), f"{path}/mixed")
 
 
+def shingle_counts(items: DataFrame, words: int, most: int, path: str) -> DataFrame:
+    """(item, n, own, common, rare) of ``items`` (item, label, text): how many shingles a text has, how many of them are in texts of
+    its label only, how many of the others are in more than ``most`` texts, and what remains as an array of (count, shingle)."""
+    # a task counts the shingles of about 4 MB of text; it makes a row for each text, so there are fewer rows than shingles
+    parts = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (4 << 20)
+
+    def deal(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [shingle_set(x, words) for x in texts_of(batch.column("text"))]
+                size, h = [len(x) for x in sets], np.concatenate(sets)
+                part = (h % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                part = part[order]
+                columns = [h[order], *(np.repeat(np.asarray(batch.column(c)), size)[order] for c in ("item", "label"))]
+                at = np.flatnonzero(np.diff(part, prepend=-1))
+                ends = np.append(at, len(part))[1:]
+                yield pa.RecordBatch.from_arrays([pa.array(part[at]), *(pa.array([x[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()) for x in columns)], names=["part", "h", "item", "label"])
+
+    def count(key, t):
+        h, item, label = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("h", "item", "label"))
+        order = np.lexsort((item, h))
+        h, item, label = h[order], item[order], label[order]
+        once = np.r_[True, (h[1:] != h[:-1]) | (item[1:] != item[:-1])]  # repeated rows
+        h, item, label = h[once], item[once], label[once]
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        runs = np.diff(np.append(at, len(h)))
+        own = np.repeat(np.minimum.reduceat(label, at) == np.maximum.reduceat(label, at), runs)
+        times = np.repeat(runs, runs)
+        rare = ~own & (times <= most)
+        items, of = np.unique(item, return_inverse=True)
+        each = lambda which: np.bincount(of[which], minlength=len(items))
+        by = np.flatnonzero(rare)
+        by = by[np.argsort(of[by], kind="stable")]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each(rare))], pa.int32()), pa.StructArray.from_arrays([pa.array(times[by]), pa.array(h[by])], names=["times", "h"]))
+        return pa.table({"item": items, "n": np.bincount(of), "own": each(own), "common": each(~own & ~rare), "rare": lists})
+
+    dealt = items.mapInArrow(deal, "part long, h binary, item binary, label binary")
+    counted = dealt.groupBy("part").applyInArrow(count, "item long, n long, own long, common long, rare array<struct<times:long,h:long>>")
+    return stored(counted.groupBy("item").agg(*[F.sum(c).alias(c) for c in ("n", "own", "common")], F.flatten(F.collect_list("rare")).alias("rare")), f"{path}/counts")
+
+
+def hopeful_members(now: DataFrame, texts: DataFrame, words: int, num: int, den: int, block: int, path: str) -> DataFrame:
+    """(key, rep): keys for all pairs of classes that share a key of ``now``, are in different components and may link.
+
+    Keys of a block at most stay as they are, the others are left by what cannot link.
+    Linked sets share ``num / den`` of the larger one at least, so with shingles in order of their counts the first that both have is
+    no later in either than what that leaves.  If it is rare, it is their key.  If not, all they share are common shingles, and
+    they keep the keys of ``now`` if these may be enough.  ``texts`` are the classes' texts (rep, text); a rep may have several.
+    """
+    large = shares(now, path).where(F.col("all") > block).select("key")
+    small = now.join(large, "key", "left_anti").select("key", "rep")
+    if large.isEmpty():
+        return small
+    now = stored(now.join(large, "key", "left_semi"), f"{path}/large")
+    items = texts.join(now.select("rep", "label").distinct(), "rep").withColumn("item", F.xxhash64("rep", "text"))
+    items = stored(items, f"{path}/items")
+    counts = shingle_counts(items.select("item", "label", "text"), words, block, path)
+    counts = counts.join(items.select("item", "rep", "label").distinct(), "item").where((F.col("n") - F.col("own")) * den >= F.col("n") * num)
+    first = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - F.col("own")
+    rare = counts.select(F.explode(F.slice(F.array_sort("rare"), F.lit(1), first.cast("int"))).alias("s"), "rep", "label", "n", (F.col("n") - F.col("own")).alias("reach"))
+    rare = rare.select(F.xxhash64(F.lit("shingle"), "s.h").alias("key"), "rep", "label", "n", "reach")
+    common = counts.where(F.col("common") * den >= F.col("n") * num).select("rep", "n", F.col("common").alias("reach"))
+    common = now.select("key", "rep", "label").join(common, "rep").select("key", "rep", "label", "n", "reach")
+    rows = stored(rare.unionByName(common), f"{path}/hopeful")
+    sizes = stored(rows.groupBy("key", "n").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.max("reach").alias("reach")), f"{path}/sizes")
+    a, b = rows.alias("a"), sizes.alias("b")
+    other = (F.col("b.l") != F.col("a.label")) | (F.col("b.m") != F.col("a.label"))
+    enough = F.least("a.reach", "b.reach") * (num + den) >= (F.col("a.n") + F.col("b.n")) * num
+    left = a.join(b, (F.col("a.key") == F.col("b.key")) & other & enough, "left_semi").select("key", "rep").distinct()
+    return stored(small.unionByName(left), f"{path}/members")
+
+
 def shares(now: DataFrame, path: str) -> DataFrame:
     """For each key how many classes it has (``all``), its largest component (``main``) and how many of them that has (``ins``)."""
     by = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
@@ -230,17 +308,17 @@ def outsiders_tasks(now: DataFrame, large: DataFrame, block: int, turn: int, pat
 
 def candidate_groups(now: DataFrame, block: int, path: str) -> DataFrame:
     """``now`` with the keys that hang together as one, where that makes fewer rows: their pairs are then met once, not once a key."""
-    hubs = now.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("all"))
-    linked = stored(now.join(hubs, "key"), f"{path}/linked")
-    whole = components(linked.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "rep").withColumnRenamed("label", "whole")
-    linked = stored(linked.join(whole, "rep"), f"{path}/whole")
+    hubs = stored(now.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("all")), f"{path}/hubs")
+    edges = now.join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    whole = stored(components(edges).select(F.col("node").alias("hub"), F.col("label").alias("whole")), f"{path}/whole")
+    # the choice is made with a row a key, so no row of a member is dealt by what hangs together
+    hubs = stored(hubs.join(whole, "hub"), f"{path}/keys")
     rows_of = lambda n: n * F.ceil(n / block)
-    apart = linked.groupBy("whole").agg(F.sum(F.ceil(F.col("all") / block)).alias("apart"))
-    at_once = linked.select("whole", "rep").distinct().groupBy("whole").agg(rows_of(F.count(F.lit(1))).alias("at_once"))
+    apart = hubs.groupBy("whole").agg(F.sum(rows_of(F.col("all"))).alias("apart"))
+    at_once = whole.groupBy("whole").agg(rows_of(F.count(F.lit(1))).alias("at_once"))
     choice = apart.join(at_once, "whole").select("whole", (F.col("at_once") <= F.col("apart")).alias("one"))
-    key = F.when(F.col("one"), F.xxhash64("whole")).otherwise(F.col("key")).alias("key")
-    # stored before it is made distinct, so that the join may deal a large component to many tasks
-    chosen = stored(linked.join(choice, "whole").select(key, "rep", "label"), f"{path}/chosen")
+    key = F.when(F.col("one"), F.xxhash64("whole")).otherwise(F.col("key")).alias("to")
+    chosen = now.join(hubs.join(choice, "whole").select("key", key), "key").select(F.col("to").alias("key"), "rep", "label")
     return stored(chosen.distinct(), f"{path}/groups")
 
 
@@ -343,8 +421,10 @@ def jaccard_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
         return texts.join(reps, "rep", "left_semi").mapInArrow(run, "rep long, n long, map array<long>").where("n > 0")
 
-    # step 4: rounds go on while they connect at least half of the classes outside
-    members, before = members.select("key", "rep"), None
+    # step 4
+    now = mixed_keys(members.select("key", "rep"), labels, f"{path}/first")
+    members, before = hopeful_members(now, texts, words, num, den, block, f"{path}/first"), None
+    # step 5: rounds go on while they connect at least half of the classes outside
     for turn in range(rounds):
         now = mixed_keys(members, labels, f"{path}/{turn}")
         large = shares(now, f"{path}/{turn}").where(F.col("all") > block)
@@ -354,7 +434,7 @@ def jaccard_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         labels, before = merged(labels, stored(joined(outsiders_tasks(now, large, block, turn, f"{path}/{turn}")), f"{path}/{turn}/links")), left
     else:
         now = mixed_keys(members, labels, f"{path}/{rounds}")
-    # step 5
+    # step 6
     tasks = block_tasks(candidate_groups(now, block, f"{path}/last"), measured, num, den, block, f"{path}/last")
     labels = merged(labels, stored(joined(tasks), f"{path}/last/links"))
     final = stored(labels, f"{kept}/components")
