@@ -447,6 +447,23 @@ def test_line_dedup_gives_way_to_names(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(i, f"own {i}", 1, 2, 2, 1) for i in range(5)] + [(5, rows[5][1], 1, 2, 2, 0), (None, None, None, None, 1, 0)]))
 
 
+def python_in_a_task(node, above=0):
+    """The most Python functions that run at once in a task of a physical plan."""
+    name, children = node.nodeName(), [node.children().apply(i) for i in range(node.children().size())]
+    if name == "AdaptiveSparkPlan":
+        children = [node.initialPlan()]
+    if name == "Exchange":
+        return max(above, python_in_a_task(children[0]))
+    above += "Arrow" in name or "Pandas" in name or "Python" in name
+    return max([python_in_a_task(c, above) for c in children], default=above)
+
+
+def test_line_dedup_needs_one_worker_a_task(docs):
+    out = line_dedup.dedup_lines(docs)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert python_in_a_task(out._jdf.queryExecution().executedPlan()) == 1
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(5)
     keys, others = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
@@ -710,6 +727,21 @@ def test_bands_agree_with_quartiles(docs):
                 assert x["kept"] == (low <= x["log2_perplexity"] <= high)
 
 
+def test_models_are_held_once_and_not_kept(spark, docs, monkeypatch):
+    gram, n = np.unique(quality.codes(quality.stream(["the cat sat on the mat", "zebra quartz"])[0]), return_counts=True)
+    model = quality.Model.of(gram, n)
+    data = model.tobytes()
+    views = quality.Model.frombytes(data).levels
+    for level, view in zip(model.levels, views, strict=True):
+        for a, b in zip(level, view, strict=True):
+            assert a.dtype == b.dtype and a.tolist() == b.tolist() and np.shares_memory(b, np.frombuffer(data, np.uint8))
+    assert quality.Model.frombytes(quality.Model([]).tobytes()).levels == []
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(send(self, value)) or sent[-1])
+    quality.judged(docs)
+    assert sent and not any(b._jbroadcast.isValid() for b in sent)
+
+
 def test_blocks_give_the_whole_model(docs):
     whole = quality.Counts(docs)
     total = whole.table.count()

@@ -273,40 +273,39 @@ class LineStore:
         rows = df.select(F.struct(*fields).alias("row"), F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("id_"))
         min_chars = self.min_chars
 
-        def split(passing: bool):
-            """The rows whose documents hold a line that passes the filters, or the others."""
-
-            def run(batches):
-                for whole in batches:
-                    for batch in slices(whole, "text"):
-                        place, _, _, passed = filters.lines(texts_of(batch.column("text")), min_chars)
-                        mark = np.full(batch.num_rows, not passing)
-                        mark[place[passed]] = passing
-                        yield batch.filter(pa.array(mark))
-
-            return rows.mapInArrow(run, rows.schema)
-
-        def cut(batches):
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    values = iter(batch.column("row").flatten())
-                    lists = batch.column("gone_").to_pylist() if "gone_" in batch.schema.names else [None] * batch.num_rows
-                    texts, lines, dropped = [], [], []
-                    for t, gone in zip(batch.column("text").to_pylist(), lists, strict=True):
-                        n, k = (t or "").count("\n") + 1, 0
-                        if gone:
-                            drop = {(g["k1"], g["k2"]) for g in gone}
-                            stay = [x for x in t.split("\n") if len(x) < min_chars or key_hash(x, min_chars) not in drop]
-                            k = n - len(stay)
-                            t = "\n".join(stay)
-                        texts.append(t)
-                        lines.append(n)
-                        dropped.append(k)
-                    arrays = [pa.array(texts, pa.string()) if f.name == text else next(values) for f in kept] + [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
-
-        merged = (split(True) if filters else rows).join(lists.hint("merge"), "id_", "left").select("row", "text", "gone_").mapInArrow(cut, schema)
-        return merged.unionByName(split(False).select("row", "text").mapInArrow(cut, schema)) if filters else merged
+        def passing(batch):
+            """Which rows' documents hold a line that passes the filters."""
+            place, _, _, passed = filters.lines(texts_of(batch.column("text")), min_chars)
+            mark = np.zeros(batch.num_rows, dtype=bool)
+            mark[place[passed]] = True
+            return mark
+
+        def cut(batch):
+            values = iter(batch.column("row").flatten())
+            lists = batch.column("gone_").to_pylist() if "gone_" in batch.schema.names else [None] * batch.num_rows
+            texts, lines, dropped = [], [], []
+            for t, gone in zip(batch.column("text").to_pylist(), lists, strict=True):
+                n, k = (t or "").count("\n") + 1, 0
+                if gone:
+                    drop = {(g["k1"], g["k2"]) for g in gone}
+                    stay = [x for x in t.split("\n") if len(x) < min_chars or key_hash(x, min_chars) not in drop]
+                    k = n - len(stay)
+                    t = "\n".join(stay)
+                texts.append(t)
+                lines.append(n)
+                dropped.append(k)
+            arrays = [pa.array(texts, pa.string()) if f.name == text else next(values) for f in kept] + [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+
+        def each(f):
+            """``f`` of every slice, in one Python function a task: a second one would need a worker of its own, which lives on with its memory."""
+            return lambda batches: (f(batch) for whole in batches for batch in slices(whole, "text"))
+
+        touched = rows.mapInArrow(each(lambda batch: batch.filter(pa.array(passing(batch)))), rows.schema) if filters else rows
+        merged = touched.join(lists.hint("merge"), "id_", "left").select("row", "text", "gone_").mapInArrow(each(cut), schema)
+        if not filters:
+            return merged
+        return merged.unionByName(rows.select("row", "text").mapInArrow(each(lambda batch: cut(batch.filter(pa.array(~passing(batch))))), schema))
 
 
 def dedup_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> DataFrame:
