@@ -258,7 +258,15 @@ class Llama2c(Tokenizer):
 
 
 class SentencePiece(Tokenizer):
-    """Piece models (unigram or BPE) by the published algorithms."""
+    """Piece models (unigram or BPE) by the published algorithms.
+
+    As in the reference of the byte pieces only ``<0x0A>`` decodes to its byte, a NUL ends a text and the space mark reads as a space.
+    With ``exact`` all byte pieces decode to bytes and those characters are encoded as such, so texts come back whole.
+    """
+
+    def __init__(self, spark: SparkSession, *, exact: bool = False):
+        super().__init__(spark)
+        self.exact = exact
 
     def load(self, path: str) -> SentencePiece:
         self.artifact = artifacts.load_pieces(path)
@@ -272,16 +280,16 @@ class SentencePiece(Tokenizer):
     def encode(self, text: Column | str, *, bos: int = 0, eos: int = 0, **_) -> Column:
         check_loaded(self.artifact)
         a = self.artifact
-        kernel, begin = merging.PieceMerge(pieces=a.pieces, options=a.options), repeats(a.bos, bos)
+        kernel, begin = merging.PieceMerge(pieces=a.pieces, options=a.options | {"exact": self.exact}), repeats(a.bos, bos)
         run = text_function(kernel, lambda own, t: begin + own.encode(t), repeats(a.eos, eos))
         return run(F.col(text) if isinstance(text, str) else text)
 
     def piece_rows(self) -> DataFrame:
-        rows = [(i, t, kind == artifacts.CONTROL) for i, (t, _, kind) in enumerate(self.artifact.pieces)]
-        return self.spark.createDataFrame(rows, "id long, text string, control boolean").select("id", F.struct("text", "control").alias("piece"))
+        rows = [(i, t, kind == artifacts.CONTROL, self.exact and kind == artifacts.BYTE) for i, (t, _, kind) in enumerate(self.artifact.pieces)]
+        return self.spark.createDataFrame(rows, "id long, text string, control boolean, byte boolean").select("id", F.struct("text", "control", "byte").alias("piece"))
 
     def piece_of(self, piece: Column, prev: Column) -> Column:
-        return decoding.model_piece(piece["text"], prev, self.artifact.bos, piece["control"])
+        return decoding.model_piece(piece["text"], prev, self.artifact.bos, piece["control"], piece["byte"])
 
 
 def get_tokenizer(spark: SparkSession, path: str, config: str | None = None) -> Tokenizer:

@@ -76,8 +76,8 @@ def scored_piece(piece: Column, prev: Column, bos: int) -> Column:
     return F.when(byte != "", F.when(byte == "00", F.lit(b"")).otherwise(F.unhex(byte))).otherwise(F.encode(F.regexp_extract(text, "(?s)^[^\\x00]*", 0), "UTF-8"))
 
 
-def model_piece(text: Column, prev: Column, bos: int, is_control: Column) -> Column:
-    """A piece model's token: control is a space, the mark is a space, one goes after the begin token, and only ``<0x0A>`` is a byte."""
+def model_piece(text: Column, prev: Column, bos: int, is_control: Column, is_byte: Column) -> Column:
+    """A piece model's token: control is a space, the mark is a space, one goes after the begin token, and ``<0x0A>`` is a byte, as what ``is_byte`` says."""
     spaced = F.when(is_control, " ").otherwise(F.replace(text, F.lit("▁"), F.lit(" ")))
     spaced = F.when((prev == bos) & spaced.startswith(" "), F.regexp_replace(spaced, "^ ", "")).otherwise(spaced)
-    return F.encode(F.when(text == "<0x0A>", "\n").otherwise(spaced), "UTF-8")
+    return F.when(is_byte, F.unhex(F.substring(text, 4, 2))).otherwise(F.encode(F.when(text == "<0x0A>", "\n").otherwise(spaced), "UTF-8"))

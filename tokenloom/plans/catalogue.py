@@ -352,7 +352,7 @@ def vocabulary_round_trip(name: str, make, text=lambda: F.col("text"), skip: int
         t = make(spark)
         ids = t.encode_df(table(spark, sf, "documents", "doc_id", text().alias("text")), **options).select("doc_id", "ids")
         out = t.decode_df(ids)
-        return out.select(F.col("doc").alias("doc_id"), F.md5(F.expr(f"substring(data, {skip + 1})")).alias("digest"), (F.col("n_tokens") > 0).alias("has_tokens"))
+        return out.select(F.col("doc").alias("doc_id"), F.md5(F.expr(f"substring(data, {skip + 1})")).alias("digest"), (F.col("n_tokens") > options.get("bos", 0)).alias("has_tokens"))
 
     run.__name__ = name
     return run
@@ -361,7 +361,7 @@ def vocabulary_round_trip(name: str, make, text=lambda: F.col("text"), skip: int
 #: A piece with a character of id 0 that is no token as a whole is dropped by rule, and ``!`` has id 0 in this vocabulary.
 json_vocabulary = vocabulary_round_trip("json_vocabulary", lambda s: HFTokenizer(s).load(public_file("byte_bpe_50k.json")), lambda: F.replace("text", F.lit("!"), F.lit(".")))
 rank_vocabulary = vocabulary_round_trip("rank_vocabulary", lambda s: Tiktoken(s).load(public_file("byte_bpe_50k.tiktoken")))
-piece_vocabulary = vocabulary_round_trip("piece_vocabulary", lambda s: SentencePiece(s).load(public_file("piece_bpe_32k.model")), skip=1, bos=1)
+piece_vocabulary = vocabulary_round_trip("piece_vocabulary", lambda s: SentencePiece(s, exact=True).load(public_file("piece_bpe_32k.model")), skip=1, bos=1)
 
 
 def round_trip_sql(text: str = "text") -> str:
