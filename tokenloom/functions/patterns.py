@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Error, TokenizerError, log
+from .batches import in_parts, small_batches
 
 # Default pre-tokenization patterns of the public vocabularies.
 RANK_PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+"
@@ -123,6 +124,10 @@ def find_all_with_gaps(text: Column, pattern: str) -> Column:
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 def _summed(matches: pa.Array, gaps: pa.Array) -> pa.Array:
     """Offsets from the byte lengths of matches and of the gaps before them."""
+    return in_parts(_summed_part, matches, gaps)
+
+
+def _summed_part(matches: pa.Array, gaps: pa.Array) -> pa.Array:
     count = np.asarray(pc.fill_null(pc.list_value_length(matches), 0)).astype(np.int64)
     gap_count = np.asarray(pc.fill_null(pc.list_value_length(gaps), 0)).astype(np.int64)
     own, before = np.asarray(matches.flatten()).astype(np.int64), np.asarray(gaps.flatten()).astype(np.int64)
@@ -136,5 +141,6 @@ def _summed(matches: pa.Array, gaps: pa.Array) -> pa.Array:
 
 def match_offsets(text: Column, pattern: str) -> Column:
     """``array<struct<start, end>>`` of the matches, in bytes.  Only lengths leave the JVM: a running sum has no linear built-in."""
+    small_batches()
     matches, gaps = find_all(text, pattern), F.split(text, to_java(pattern), -1)
     return _summed(F.transform(matches, F.octet_length), F.transform(gaps, F.octet_length))

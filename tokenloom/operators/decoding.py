@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import Error
+from ..functions.batches import in_parts
 from .encoding import once, shared
 
 RESULT = "struct<data:binary,error:string>"
@@ -63,7 +64,7 @@ def decode_function(table: PieceTable):
 
     @F.arrow_udf(RESULT)
     def decode(ids: pa.Array) -> pa.Array:
-        return sent.value.decoded(ids)
+        return in_parts(sent.value.decoded, ids)
 
     return once(decode)
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Error, TokenizerError
+from ..functions.batches import in_parts, small_batches
 from .merging import EncodeFault, Kernel
 from .segments import segments, special_ids
 
@@ -35,6 +36,7 @@ def pieces_of(text: Column, specials: dict[str, int], normalize: Callable[[Colum
 
 def shared(value):
     """``value`` sent to each executor once; a worker unpacks it once, and what it remembers outlives a task."""
+    small_batches()
     return SparkSession.active().sparkContext.broadcast(value)
 
 
@@ -49,13 +51,18 @@ def kernel_function(kernel: Kernel, begin: list[int], end: list[int]) -> Callabl
 
     @F.arrow_udf(RESULT)
     def encode(pieces: pa.Array) -> pa.Array:
-        return encoded(sent.value, pieces, begin, end)
+        return kernel_rows(sent.value, pieces, begin, end)
 
     return once(encode)
 
 
+def kernel_rows(kernel: Kernel, rows: pa.ListArray, begin: list[int], end: list[int]) -> pa.StructArray:
+    """What ``kernel_function`` returns for a column of pieces."""
+    return in_parts(lambda part: encoded(kernel, part, begin, end), rows)
+
+
 def encoded(kernel: Kernel, rows: pa.ListArray, begin: list[int], end: list[int]) -> pa.StructArray:
-    """What ``kernel_function`` returns for a column of pieces: each distinct piece is merged once, and rows take ids by index."""
+    """The same of a part of the column: each distinct piece is merged once, and rows take ids by index."""
     flat, count = rows.flatten(), np.asarray(pc.fill_null(pc.list_value_length(rows), 0)).astype(np.int64)
     coded = pc.fill_null(flat.field("piece"), "").dictionary_encode()
     special = flat.field("special")
@@ -101,8 +108,7 @@ def text_function(kernel: Kernel, encode_text: Callable[[Kernel, str], list[int]
     """The same for kernels that take a whole text."""
     sent = shared(kernel)
 
-    @F.arrow_udf(RESULT)
-    def encode(texts: pa.Array) -> pa.Array:
+    def encoded_texts(texts: pa.Array) -> pa.Array:
         ids, errors, own = [], [], sent.value
         for t in texts.to_pylist():
             try:
@@ -113,6 +119,10 @@ def text_function(kernel: Kernel, encode_text: Callable[[Kernel, str], list[int]
                 errors.append(Error.ENCODE_FAILURE.value)
         return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array(errors, pa.string()), pa.array([0] * len(ids), pa.int32())], names=["ids", "error", "dropped"])
 
+    @F.arrow_udf(RESULT)
+    def encode(texts: pa.Array) -> pa.Array:
+        return in_parts(encoded_texts, texts)
+
     return once(encode)
 
 
