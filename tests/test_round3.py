@@ -6,8 +6,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tokenloom.functions import batches
+from tokenloom.functions import batches, bytelevel, decoders
 from tokenloom.operators import encoding, merging
 from tokenloom.plans import catalogue, toy
 
@@ -59,3 +60,22 @@ def test_small_batches_in_the_session(spark):
         assert spark.conf.get(name) == "1000b"
     finally:
         spark.conf.unset(name)
+
+
+def test_byte_alphabet_by_tables(spark):
+    texts = [bytes(range(128)).decode(), "", None, "é€日😀\0x", *ODD]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for x in rows.select("t", bytelevel.to_printable(F.col("t")).alias("want"), bytelevel.printable_rows(F.col("t")).alias("got")).collect():
+        assert x["got"] == x["want"]
+    slow, fast = (decoders.compile_decoder({"type": "ByteLevel"}, whole_columns=w) for w in (False, True))
+    tokens = spark.createDataFrame([(t,) for t in ["Ġa b", "日x", "", None, "Ġ" * 9, "ßÄ€", *map(str, bytelevel.ALPHABET)]], "t string")
+    for x in tokens.select("t", slow(F.col("t")).alias("want"), fast(F.col("t")).alias("got")).collect():
+        assert x["got"] == x["want"], x
+    both = pa.array(["a", "日x", None, "Ġ"], pa.string())
+    assert bytelevel.byte_part(both.slice(1)).to_pylist() == [bytelevel.noted("日x"), None, b" "]
+    assert bytelevel.byte_part(bytelevel.printable_part(pa.array(["ü", None, ""] * 3).slice(2))).to_pylist() == [b"", "ü".encode(), None] * 2 + [b""]
+
+
+def test_byte_alphabet_looks_up_no_single_characters(spark):
+    plan = catalogue.byte_alphabet_round_trip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan.lower() and "rlike" not in plan.lower()

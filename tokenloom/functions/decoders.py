@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import Error, TokenizerError
-from .bytelevel import in_alphabet, to_bytes
+from .bytelevel import byte_rows, in_alphabet, to_bytes
 
 Decoder = Callable[[Column], Column]
 
@@ -38,8 +38,8 @@ def byte_fallback(token: Column) -> Column:
     return F.when((digits != "") & (F.length(value) <= 2), F.unhex(F.lpad(value, 2, "0"))).otherwise(F.encode(token, "UTF-8"))
 
 
-def compile_decoder(spec: dict | None) -> Decoder:
-    """A function from token text (string) to bytes (binary)."""
+def compile_decoder(spec: dict | None, *, whole_columns: bool = False) -> Decoder:
+    """A function from token text (string) to bytes (binary); of ``whole_columns``, not of variables in lambdas, by faster functions."""
     if spec is None:
         raise TokenizerError(Error.LOAD_FAILURE, "a decoder of null")
     steps = _steps(spec)
@@ -47,6 +47,7 @@ def compile_decoder(spec: dict | None) -> Decoder:
     def run(token: Column) -> Column:
         is_binary = False
         for kind, step in steps:
+            step = byte_rows if whole_columns and step is byte_level else step
             token = step(F.decode(token, "UTF-8") if is_binary else token)
             is_binary = kind
         return token if is_binary else F.encode(token, "UTF-8")

@@ -160,7 +160,7 @@ FROM (SELECT conv_id, turn, text, hex(encode(text)) AS h, {chars} AS c FROM conv
 
 def byte_alphabet_round_trip(spark, sf):
     rows = table(spark, sf, "documents", "doc_id", "text")
-    back = decoders.compile_decoder({"type": "ByteLevel"})(bytelevel.to_printable(F.col("text")))
+    back = decoders.compile_decoder({"type": "ByteLevel"}, whole_columns=True)(bytelevel.printable_rows(F.col("text")))
     return rows.select("doc_id", F.md5(back).alias("digest"))
 
 
