@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.functions import batches, bytelevel, decoders
+from tokenloom.functions import batches, bytelevel, decoders, patterns
 from tokenloom.operators import encoding, merging
 from tokenloom.plans import catalogue, toy
 
@@ -79,3 +79,11 @@ def test_byte_alphabet_by_tables(spark):
 def test_byte_alphabet_looks_up_no_single_characters(spark):
     plan = catalogue.byte_alphabet_round_trip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "translate(" not in plan.lower() and "rlike" not in plan.lower()
+
+
+def test_offsets_in_parts():
+    n, each = 400, 5000
+    lengths = lambda k: pa.ListArray.from_arrays(np.arange(0, n * (each + k) + 1, each + k, dtype=np.int32), pa.array(np.arange(n * (each + k), dtype=np.int32) % 7))
+    matches, gaps = lengths(0), lengths(1)
+    assert patterns.offset_rows(matches, gaps).equals(patterns._summed_part(matches, gaps))
+    assert peak_mb(lambda: patterns.offset_rows(matches, gaps)) < 60 < peak_mb(lambda: patterns._summed_part(matches, gaps))

@@ -123,6 +123,10 @@ def find_all_with_gaps(text: Column, pattern: str) -> Column:
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 def _summed(matches: pa.Array, gaps: pa.Array) -> pa.Array:
+    return offset_rows(matches, gaps)
+
+
+def offset_rows(matches: pa.Array, gaps: pa.Array) -> pa.Array:
     """Offsets from the byte lengths of matches and of the gaps before them."""
     return in_parts(_summed_part, matches, gaps)
 
