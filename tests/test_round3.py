@@ -87,3 +87,12 @@ def test_offsets_in_parts():
     matches, gaps = lengths(0), lengths(1)
     assert patterns.offset_rows(matches, gaps).equals(patterns._summed_part(matches, gaps))
     assert peak_mb(lambda: patterns.offset_rows(matches, gaps)) < 60 < peak_mb(lambda: patterns._summed_part(matches, gaps))
+
+
+def test_specials_in_parts():
+    n, each = 300, 5000
+    pieces = pa.StructArray.from_arrays([pa.array(["", "the", " of", "x"] * (n * each // 4)), pa.array([300, None, None, None] * (n * each // 4), pa.int64())], names=["piece", "special"])
+    rows = pa.ListArray.from_arrays(np.arange(0, n * each + 1, each, dtype=np.int32), pieces)
+    kernel = merging.RankMerge(tokens=toy.rank_tokens())
+    assert encoding.kernel_rows(kernel, rows, [7], [8]).equals(encoding.encoded(kernel, rows, [7], [8]))
+    assert peak_mb(lambda: encoding.kernel_rows(kernel, rows, [7], [8])) < 60 < peak_mb(lambda: encoding.encoded(kernel, rows, [7], [8]))
