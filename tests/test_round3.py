@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.functions import batches, bytelevel, decoders, patterns
-from tokenloom.operators import encoding, merging
+from tokenloom.operators import decoding, encoding, merging
 from tokenloom.plans import catalogue, toy
 
 
@@ -96,3 +96,12 @@ def test_specials_in_parts():
     kernel = merging.RankMerge(tokens=toy.rank_tokens())
     assert encoding.kernel_rows(kernel, rows, [7], [8]).equals(encoding.encoded(kernel, rows, [7], [8]))
     assert peak_mb(lambda: encoding.kernel_rows(kernel, rows, [7], [8])) < 60 < peak_mb(lambda: encoding.encoded(kernel, rows, [7], [8]))
+
+
+def test_decoding_in_parts():
+    n, each = 300, 5000
+    table = decoding.PieceTable({i: (b"ab", b"b") for i in range(100)}, 1)
+    ids = pa.ListArray.from_arrays(np.arange(0, n * each + 1, each, dtype=np.int32), pa.array(np.arange(n * each) % 101))
+    assert decoding.decoded_rows(table, ids).equals(table.decoded(ids))
+    ids = pa.ListArray.from_arrays(ids.offsets, pa.array(np.arange(n * each) % 100))
+    assert peak_mb(lambda: decoding.decoded_rows(table, ids)) < 40 < peak_mb(lambda: table.decoded(ids))

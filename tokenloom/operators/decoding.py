@@ -64,11 +64,16 @@ def decode_function(table: PieceTable):
 
     @F.arrow_udf(RESULT)
     def decode(ids: pa.Array) -> pa.Array:
-        return in_parts(sent.value.decoded, ids)
+        return decoded_rows(sent.value, ids)
 
     return once(decode)
 
 
+def decoded_rows(table: PieceTable, ids: pa.ListArray) -> pa.StructArray:
+    """What ``decode_function`` returns for a column of ids."""
+    return in_parts(table.decoded, ids)
+
+
 def scored_piece(piece: Column, prev: Column, bos: int) -> Column:
     """A scored token's bytes: after the begin token one leading space goes, ``<0xHH>`` is a byte, and text ends at a NUL."""
     text = F.decode(piece, "UTF-8")
