@@ -105,3 +105,12 @@ def test_decoding_in_parts():
     assert decoding.decoded_rows(table, ids).equals(table.decoded(ids))
     ids = pa.ListArray.from_arrays(ids.offsets, pa.array(np.arange(n * each) % 100))
     assert peak_mb(lambda: decoding.decoded_rows(table, ids)) < 40 < peak_mb(lambda: table.decoded(ids))
+
+
+def test_characters_in_parts():
+    n, each = 300, 5000
+    pieces = pa.StructArray.from_arrays([pa.array(["the", "!x", "zq", "a"] * (n * each // 4)), pa.nulls(n * each, pa.int64())], names=["piece", "special"])
+    rows = pa.ListArray.from_arrays(np.arange(0, n * each + 1, each, dtype=np.int32), pieces)
+    kernel = merging.CharacterMerge(tokens={b"!": 0, b"a": 1, b"z": 2, b"q": 3, b"the": 4}, ranks={})
+    assert encoding.kernel_rows(kernel, rows, [], []).equals(encoding.encoded(kernel, rows, [], []))
+    assert peak_mb(lambda: encoding.kernel_rows(kernel, rows, [], [])) < 60 < peak_mb(lambda: encoding.encoded(kernel, rows, [], []))
